@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quill.llm import packing, repeated_lines, sentences, splitting, tokens, visual
+from quill.llm import markup, packing, repeated_lines, sentences, splitting, tokens, visual
 from quill.session import read_table
 
 
@@ -51,6 +51,14 @@ def p4_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(_documents(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.elements(_documents(spark, folder))
+
+
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean(_documents(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(_documents(spark, folder))
 
