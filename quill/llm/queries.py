@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quill.llm import markup, packing, repeated_lines, sentences, splitting, tokens, visual
+from quill.llm import markup, packing, repeated_lines, scanned, sentences, splitting, tokens, visual
 from quill.session import read_table
 
 
@@ -59,6 +59,14 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.clean(_documents(spark, folder))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned.findings(_documents(spark, folder))
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned.repair(_documents(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(_documents(spark, folder))
 
