@@ -33,17 +33,20 @@ LANGUAGES = ("es", "en", "pt", "fr", "de", "ru", "zh", "ja", "ar", "hi", "th")
 #: Phrases by which another language must do better, and the share of phrases it may need, to hold a segment.
 MARGIN, SHARE = 2.0, 0.7
 MIN_POINTS = 60
-#: Words of weight that a segment of another language must hold.
-MIN_WORDS = 2
+#: Words of weight that a segment of another language must hold; one is enough in letters of its own.
+MIN_WORDS = 3
 #: Words kept in a worker's cache before it starts afresh; results don't depend on it.
 CACHE_WORDS = 1_000_000
 #: Letters that only one language here uses, for languages without labelled text.
 SCRIPTS = {"ru": "а-яА-ЯёЁ", "ja": "぀-ヿ", "zh": "一-鿿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "th": "฀-๿"}
 
+OWN_LETTERS = np.array([lang in SCRIPTS for lang in LANGUAGES])
+
 _word = re.compile(r"[^\W\d_]+")
 _cut = re.compile(r"[\n|]+|(?<=[.!?…؟।])(?:[\"”»’)\]]*)\s+|(?<=[。！？])")
 _noise = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|\S*[/\\_=]\S*")
 _code = re.compile(r"\b(?=\w*\d)\w+\b")
+_spaced = re.compile(r"(?<!\S)(?:\S\s{1,3}){6,}")
 _key = re.compile(r"\A\s*[^\W\d_]+:\s")
 _hidden = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _fold = FOLD | {ord(a): b for a, b in (LIGATURES | WIDE).items()}
@@ -162,22 +165,23 @@ def training_words(texts: dict[str, list[str]]) -> dict[str, list[str]]:
         docs = kept
     size = Counter(lang for lang, _ in docs)
     seen: dict[str, Counter] = defaultdict(Counter)
-    lower: set[str] = set()
+    as_name: Counter = Counter()
     for lang, ws in docs:
-        seen[lang].update({w.lower() for w in ws})
-        lower |= {w for w in ws if w.islower() or not w[0].isupper()}
+        own = {w.lower() for w in ws}
+        seen[lang].update(own)
+        as_name.update(own - {w for w in ws if not w[0].isupper()})
     out = {}
     for lang, counter in seen.items():
         words = []
         for w, n in counter.items():
             own = n / size[lang]
             other = max((seen[x][w] / size[x] for x in seen if x != lang), default=0.0)
-            name = w not in lower or n * 40 < size[lang]
+            name = as_name[w] * 5 > 4 * sum(c[w] for c in seen.values()) and (n * 25 < size[lang] or own < 4 * other)
             if lang in ("zh", "ja"):  # written without spaces: a run of letters seldom recurs, its parts do
                 if _han.search(w):
                     words.append(w)
                 continue
-            if (n >= 2 or size[lang] < 8) and own * 12 > other and (not name or own > 4 * other and (n >= 3 or w in lower)):
+            if (n >= 2 or size[lang] < 8) and own * 12 > other and not name:
                 words.append(w)
         out[lang] = sorted(words)
     return out
@@ -205,6 +209,8 @@ class Model:
         for i, a in enumerate(self.automata):
             if i == sole:
                 n.append(1.0 + len(low) // 8)
+            elif han and len(low) >= 8 and LANGUAGES[i] == "ja":  # Japanese doesn't go that long without kana
+                n.append(len(low) + 1.0)
             elif sole is not None or han != (LANGUAGES[i] in ("zh", "ja")) or not han and self.scripts[i]:
                 n.append(len(low) + 1.0)
             elif len(a.next) > 1:
@@ -212,11 +218,11 @@ class Model:
             else:  # no labelled text: by its letters alone
                 n.append(1.0 + len(low) // 3 if han else len(low) + 1.0)
         best = min(n)
-        if best > 1.0 and low.isascii() or best > 1 + len(low) // 3:
+        if best > 1 and sole is None and not han:
             # known to no language as a whole: a name, or a misread or rare word
             weight = 0.0 if word[0].isupper() else 0.25
         else:
-            weight = 1.0
+            weight = 0.25 if len(low) == 1 and low < "\u2e80" else 1.0
         self.at[word] = len(self.rows)
         self.rows.append([min(3.0 + len(low) / 4, x - best) * weight if weight else 0.0 for x in n] + [weight])
 
@@ -236,7 +242,10 @@ class Model:
         find = _word.findall
         for i, t in enumerate(texts):
             plain = t.isascii() or not (_foreign.search(t) or _hidden.search(t))
-            signs = any(x in t for x in "/_=\\@|")
+            record = "|" in t
+            signs = record or "/" in t or "_" in t or "=" in t or "\\" in t or "@" in t
+            if "   " in t and _spaced.search(t):  # letters set apart
+                t = _spaced.sub(lambda m: " " * len(m.group()), t)
             at = 0
             for end in [*(m.end() for m in _cut.finditer(t)), len(t)]:
                 if end == at:
@@ -246,8 +255,11 @@ class Model:
                 else:
                     s = t[at:end]
                     if signs:
-                        s = _key.sub("", _code.sub(" ", _noise.sub(" ", s)))
-                    own = find(folded(s))
+                        if "/" in s or "_" in s or "=" in s or "\\" in s or "@" in s:
+                            s = _noise.sub(" ", s)
+                        if record:
+                            s = _key.sub("", _code.sub(" ", s))
+                    own = find(s if plain else folded(s))
                 which.append(i)
                 begins.append(at)
                 stops.append(end)
@@ -274,7 +286,7 @@ class Model:
         main = np.where(mass.max(1) > 0, mass.argmax(1), whole.argmin(1))[which]
         row = np.arange(len(which))
         at_main, at_best = surplus[row, main], two[:, 0]
-        other = (best != main) & (weight >= MIN_WORDS) & (at_main - at_best >= MARGIN) & (weight + at_best <= SHARE * (weight + at_main))
+        other = (best != main) & (weight >= np.where(OWN_LETTERS[best], 1, MIN_WORDS)) & (at_main - at_best >= MARGIN) & (weight + at_best <= SHARE * (weight + at_main))
         lang = np.where(other, best, main)
         certain = np.where(lang == best, 2 * gap, 0.0)
         starts = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (lang[1:] != lang[:-1]))))
@@ -321,8 +333,8 @@ def natural(text: str) -> str:
 SEGMENTS = "tab string, item string, label string, n int, lang string, begin int, end int, confidence double"
 
 
-def segments(texts: DataFrame, words: tuple, markup: bool = True) -> DataFrame:
-    """texts: (tab, item, text, label). One row for each segment in order: (tab, item, label, n, lang, begin, end,
+def segments(texts: DataFrame, words: tuple, marked: tuple[str, ...] = ("documents",)) -> DataFrame:
+    """texts: (tab, item, text, label); those of the tables ``marked`` may hold markup. One row for each segment in order: (tab, item, label, n, lang, begin, end,
     confidence); begin and end are offsets in the text without markup. Texts without language give no rows."""
 
     def run(batches):
@@ -331,7 +343,7 @@ def segments(texts: DataFrame, words: tuple, markup: bool = True) -> DataFrame:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 raw = part.column(2).to_pylist()
-                found = own.judge([natural(t) if markup else t for t in raw])
+                found = own.judge([natural(t) if tab in marked else t for tab, t in zip(part.column(0).to_pylist(), raw)])
                 rows = [k for k, f in enumerate(found) for _ in f]
                 flat = [(n, *s) for f in found for n, s in enumerate(f)]
                 n, lang, begin, end, sure = zip(*flat) if flat else ((),) * 5
@@ -352,3 +364,27 @@ def other_languages(texts: DataFrame, names: DataFrame, words: tuple) -> DataFra
         .select("tab", "item", "lang")
         .distinct()
     )
+
+
+def main_language(texts: DataFrame, words: tuple, marked: tuple[str, ...] = ("documents",)) -> DataFrame:
+    """(tab, item, lang, confidence), one row for each text: the language of most of its letters."""
+
+    def run(batches):
+        own = model(words)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                tabs, raw = part.column(0).to_pylist(), part.column(2).to_pylist()
+                langs, sure = [], []
+                for found in own.judge([natural(t) if t and tab in marked else t or "" for tab, t in zip(tabs, raw)]):
+                    size: Counter = Counter()
+                    certain: Counter = Counter()
+                    for lang, begin, end, x in found:
+                        size[lang] += end - begin
+                        certain[lang] += (end - begin) * x
+                    best = max(size, key=lambda x: (size[x], x)) if size else None
+                    langs.append(best)
+                    sure.append(round(certain[best] / sum(size.values()), 4) if best else 0.0)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], ["tab", "item", "lang", "confidence"])
+
+    return texts.select("tab", "item", "text").mapInArrow(run, "tab string, item string, lang string, confidence double")

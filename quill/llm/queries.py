@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quill.llm import markup, packing, repeated_lines, scanned, sentences, splitting, tokens, visual
+from quill.llm import languages, markup, packing, repeated_lines, scanned, sentences, splitting, tokens, visual
 from quill.session import read_table
 
 
@@ -29,6 +29,26 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(_documents(spark, folder))
 
 
+def _language_words(spark: SparkSession, folder: str) -> tuple:
+    docs = _documents(spark, folder).select(F.col("doc_id").alias("item"), "text", F.col("idioma").alias("label"))
+    return languages.trained(docs, read_table(spark, folder, "language_names"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.other_languages(_both(spark, folder), read_table(spark, folder, "language_names"), _language_words(spark, folder))
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    found = languages.segments(_both(spark, folder), _language_words(spark, folder))
+    return found.select("tab", "item", "n", "lang", "begin", "end", F.round("confidence", 4).alias("confidence"))
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of most of each text, and its confidence; null and 0 where the text holds no language."""
+    texts = _both(spark, folder)
+    return languages.main_language(texts, _language_words(spark, folder))
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     texts = _both(spark, folder).select(F.struct("tab", "item").alias("id"), "text")
     flat = texts.select(F.concat_ws("\x1f", "id.tab", "id.item").alias("key"), "text")
