@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quill.llm import languages, markup, packing, repeated_lines, scanned, sentences, splitting, tokens, visual
+from quill.llm import languages, markup, near_duplicates, packing, repeated_lines, scanned, sentences, splitting, tokens, visual
 from quill.session import read_table
 
 
@@ -87,6 +87,20 @@ def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.repair(_documents(spark, folder))
 
 
+def _alike(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = read_table(spark, folder, "chunk_meta").select(F.lit("chunk_meta").alias("tab"), F.col("chunk_id").alias("id"), F.col("texto").alias("text"))
+    fragments = read_table(spark, folder, "fragments").select(F.lit("fragments").alias("tab"), F.concat("query_id", F.lit("#"), F.col("rank").cast("string")).alias("id"), "text")
+    return chunks.unionByName(fragments)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_records(_alike(spark, folder))
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.groups(_alike(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(_documents(spark, folder))
 
