@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quill.functions import text as T
-from quill.session import written
+from quill.operators.ordinals import with_ordinal
 
 #: Abbreviations after whose dot a sentence goes on.
 ABBREVIATIONS = (
@@ -28,7 +28,7 @@ CUT, BODY = "\x01", "\x02"
 
 def false_break(left: Column) -> Column:
     """Whether the boundary after this text is none: abbreviation, inner dots, initial or number."""
-    token = F.lower(F.rtrim(F.lit("."), F.regexp_extract(left, "(?U)([\\wÀ-ÿ.]+)[\"'”’)\\]]*\\s*$", 1)))
+    token = F.lower(F.rtrim(F.regexp_extract(left, "(?U)([\\wÀ-ÿ.]+)[\"'”’)\\]]*\\s*$", 1), F.lit(".")))
     return (token != "") & (token.isin(*ABBREVIATIONS) | token.contains(".") | (F.length(token) == 1) | token.rlike(r"^\p{Nd}+$"))
 
 
@@ -144,16 +144,6 @@ def first_chunks(chunks: DataFrame, most: int, key: str = "doc_id") -> DataFrame
 
 
 def numbered(chunks: DataFrame, key: str = "doc_id", start: int = 0) -> DataFrame:
-    """chunk_id, the dense ordinal over (document, posicion), and chunk_uid.
-
-    Ranges are numbered in parallel: rows are sorted into ranges, each range counts its rows, and the few counts (one a
-    partition) give every range its offset; no task holds all rows. The ranges are written, as they must not be drawn twice.
-    """
-    spread = written(chunks.repartitionByRange(F.col(key), F.col("posicion")).withColumn("_p", F.spark_partition_id()), "numbered")
-    w = Window.partitionBy("_p").orderBy(key, "posicion")
-    local = spread.withColumn("_i", F.row_number().over(w) - 1)
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))
-    return local.join(F.broadcast(offsets), "_p").select(
-        *chunks.columns, (F.col("_i") + F.col("_o") + start).cast("string").alias("chunk_id"), F.format_string("%s-chunk-%04d", F.col(key).cast("string"), F.col("posicion")).alias("chunk_uid")
-    )
+    """chunks with chunk_id, the ordinal over (document, posicion) from ``start``, and chunk_uid."""
+    rows = with_ordinal(chunks, [key, "posicion"], "_n", start)
+    return rows.select(*chunks.columns, F.col("_n").cast("string").alias("chunk_id"), F.format_string("%s-chunk-%04d", F.col(key).cast("string"), F.col("posicion")).alias("chunk_uid"))
