@@ -182,7 +182,7 @@ def _records(df: DataFrame) -> DataFrame:
 def candidates(df: DataFrame) -> DataFrame:
     """(a bigint, b bigint), distinct: content ids of different texts that the trie join finds."""
     spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def pack(batches):
         held: list[np.ndarray] = []
