@@ -49,7 +49,7 @@ _abbreviations = ", ".join(f"'{a}'" for a in ABBREVIATIONS)
 SENTENCES = rf"""marked AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?…])({_quotes}\s+)(["''“¿¡(\[]*[A-ZÀ-Ý0-9])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS ps FROM clean WHERE text IS NOT NULL),
 pieces AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM marked),
 cutup AS (SELECT doc_id, i, CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 1) ELSE '' END AS gap, CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 2) ELSE p END AS body FROM pieces),
-told AS (SELECT *, lower(rtrim(regexp_extract(body, '([\pL\pN\pM\pPc.]+){_quotes}\s*$', 1), '.')) AS t FROM cutup),
+told AS (SELECT *, lower(rtrim(regexp_extract(body, '([\pL\pN\pM\p{{Pc}}.]+){_quotes}\s*$', 1), '.')) AS t FROM cutup),
 flagged AS (SELECT *, t <> '' AND (t IN ({_abbreviations}) OR contains(t, '.') OR length(t) = 1 OR regexp_matches(t, '^\p{{Nd}}+$')) AS fb FROM told),
 started AS (SELECT *, CASE WHEN i = 0 OR lag(fb) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS brk FROM flagged),
 numbered AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY i) AS sid FROM started),
