@@ -8,7 +8,8 @@ levels, by which time every pair of records would have been visited; therefore t
 ROWS minima each, which must agree entirely: the trie proper lies below each key. Pairs that come out are compared exactly.
 
 Scale: the shuffle carries packed arrays of 28 bytes a record and band, no texts. Equal texts have one content id and
-enter each bucket once. A bucket is split along the trie as far as needed and its pairs are produced in bounded chunks.
+enter each bucket once. A bucket of more than HOT records is cut along the trie into blocks, whose pairs are
+spread over the cluster; pairs are produced in bounded chunks.
 Texts are fetched for candidates only. Chance to miss a pair of exactly 0.7: about 0.8 %; of 0.8: under 0.1 %.
 
 Defined results: texts are lower-cased, white space is collapsed and trimmed; null texts and texts of fewer than five
@@ -34,8 +35,10 @@ BANDS, ROWS = 12, 3
 BUDGET = 31
 WITHIN = 64
 #: Pairs of nodes of which the records are compared at once, and most pairs held at a time.
-LEAF, CHUNK = 4096, 1 << 21
-FLUSH = 100_000
+LEAF, CHUNK = 1024, 1 << 19
+FLUSH = 40_000
+#: Records of a bucket from which it is cut into blocks, whose pairs become tasks of their own.
+HOT = 4096
 RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), ("a", "<u8"), ("b", "<u8")])
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -109,18 +112,23 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return keys
 
 
-def trie_join(records: np.ndarray, budget: int = BUDGET):
-    """Yields (id, id) arrays of records that share a key and differ in at most ``budget`` bits of the sketch.
-
-    records, sorted by (key, a, b), are the leaves of the trie in order; a node is a range of them. Levels are taken eight
-    bits at a time, from the top bits down.
-    """
-    a, b, ids = records["a"], records["b"], records["id"]
+def buckets(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of the records of each key with more than one record."""
     starts = np.flatnonzero(np.concatenate(([True], records["key"][1:] != records["key"][:-1])))
     ends = np.concatenate((starts[1:], [len(records)]))
     some = ends - starts > 1
-    starts, ends = starts[some], ends[some]
-    stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int64))]
+    return starts[some], ends[some]
+
+
+def trie_join(records: np.ndarray, roots: tuple[np.ndarray, ...], budget: int = BUDGET):
+    """Yields (id, id) arrays of records below each pair of roots that differ in at most ``budget`` bits of the sketch.
+
+    records, sorted by (a, b) below each root, are the leaves of the trie in order; a node is a range of them. roots are the
+    ranges (from, to, from, to) of nodes at the top of the sketch; a node paired with itself has its pairs once. Levels are
+    taken eight bits at a time, from the top bits down.
+    """
+    a, b, ids = records["a"], records["b"], records["id"]
+    stack = [(0, *roots, np.zeros(len(roots[0]), np.int64))]
     while stack:
         level, lo1, hi1, lo2, hi2, spent = stack.pop()
         if len(lo1) > CHUNK:
@@ -228,6 +236,13 @@ def candidates(df: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+
+    def pairs_of(rows, roots):
+        for x, y in trie_join(rows, roots):
+            none = pa.nulls(len(x), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none, none], schema=out)
+
     def join(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
         if not blobs:
@@ -238,11 +253,30 @@ def candidates(df: DataFrame) -> DataFrame:
         if len(rows) > 1:  # copies of a text enter a bucket once
             same = (rows["key"][1:] == rows["key"][:-1]) & (rows["id"][1:] == rows["id"][:-1])
             rows = rows[np.concatenate(([True], ~same))]
-        for x, y in trie_join(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        starts, ends = buckets(rows)
+        hot = ends - starts > HOT
+        yield from pairs_of(rows, (starts[~hot], ends[~hot], starts[~hot], ends[~hot]))
+        for lo, hi in zip(starts[hot].tolist(), ends[hot].tolist()):
+            cuts = np.linspace(lo, hi, -(-(hi - lo) // HOT) + 1).astype(int)
+            for i in range(len(cuts) - 1):
+                for j in range(i, len(cuts) - 1):
+                    left, right = rows[cuts[i] : cuts[i + 1]].tobytes(), rows[cuts[j] : cuts[j + 1]].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([left]), pa.array([None if i == j else right], pa.binary())], schema=out)
+
+    def blocks(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(left, RECORD)
+                y = x if right is None else np.frombuffer(right, RECORD)
+                rows = x if right is None else np.concatenate((x, y))
+                first = 0 if right is None else len(x)
+                for p, q in trie_join(rows, tuple(np.array([v]) for v in (0, len(x), first, len(rows)))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
     packed = _records(df).mapInArrow(pack, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(join, "a bigint, b bigint").distinct()
+    joined = written(packed.repartition(parts, "part").mapInArrow(join, "a bigint, b bigint, left binary, right binary"), "joined")
+    split = joined.filter("left IS NOT NULL").select("left", "right").repartition(parts).mapInArrow(blocks, "a bigint, b bigint")
+    return joined.filter("left IS NULL").select("a", "b").unionByName(split).distinct()
 
 
 def _with_content(df: DataFrame, text: bool) -> DataFrame:
