@@ -5,7 +5,7 @@ ones go up a tree as items: the leftovers of FAN_IN partitions meet in one task,
 so on, until one group is left. A task never holds more than its share of items or, higher up, FAN_IN times CARRY
 leftovers: of a group's underfull containers the CARRY emptiest go up, as those can gain most, and the others are final.
 
-Defined results: an item of size 0 (empty or null) goes to a container of its partition and takes no room; an item
+Defined results: an item of size 0 or null (an empty or null text) goes to a container of its partition and takes no room; an item
 above the capacity is cut into full pieces and a rest, pieces counted from 0; equal rows are items of their own;
 empty input gives no rows. Container names are unique and do not carry meaning.
 """
@@ -71,7 +71,7 @@ FIELDS = "key {kind}, piece int, start bigint, size bigint, container string, sl
 def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: int = CAPACITY) -> DataFrame:
     """(key, piece int, start bigint, size bigint, container string): every item of (key, size) in a container."""
     kind = items.schema[key].dataType.simpleString()
-    schema = FIELDS.format(kind=kind)
+    schema = FIELDS.format(kind="string")  # keys travel as strings, which may be null
 
     def local(frames):
         parts = [f for f in frames if len(f)]
@@ -110,7 +110,7 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: in
 
         return run
 
-    first = items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"))
+    first = items.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
     slots = first.rdd.getNumPartitions()
     table = written(first.mapInPandas(local, schema), "pack0")
     out, level = table.filter("done"), 0
@@ -121,4 +121,4 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "size", capacity: in
         table = written(rest.groupBy("slot").applyInPandas(merge(level, slots == 1), schema), f"pack{level}")
         out = out.unionByName(table.filter("done"))
         if slots == 1:
-            return out.select(F.col("key").alias(key), "piece", "start", "size", "container")
+            return out.select(F.col("key").cast(kind).alias(key), "piece", "start", "size", "container")

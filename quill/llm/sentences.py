@@ -32,7 +32,7 @@ STATES = 13
 
 #: Abbreviations after which a sentence goes on, whatever follows.
 ABBREVIATIONS = frozenset(
-    "dr dra sr sra srta mr mrs ms prof profa lic ing mme mlle st sto sta gral gen cap col ee uu vs cf núm num fig figs art arts "
+    "ej ex dr dra sr sra srta mr mrs ms prof profa lic ing mme mlle st sto sta gral gen cap col ee uu vs cf núm num fig figs art arts "
     "sec abschn abb nr bzw ca vgl hrsg tel av ed eds vol pág pag págs pp inc ltd cía jr prov depto dept др проф рис стр гл "
     "ст им ул тов".split()
 )
