@@ -62,7 +62,7 @@ def class_table() -> np.ndarray:
             table[cp] = SPACE
         elif kind == "Cf":
             table[cp] = HIDDEN
-    for ch in "\n\x0b\x0c\x1c\x1d\x1e\x85  ":
+    for ch in "\n\u2028\u2029":
         table[ord(ch)] = NEWLINE
     for ch in ".!?…؟۔।॥‽":
         table[ord(ch)] = TERM
