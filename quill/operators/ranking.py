@@ -6,8 +6,13 @@ DIGITS before they order rows, so that the order of additions doesn't decide.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quill.functions import text as T
@@ -16,8 +21,10 @@ from quill.operators.segmenting import output_parts
 from quill.session import cut
 
 DIGITS = 6
-#: Vectors in a block of the exact search.
-BLOCK = 4096
+#: Vectors in a block of the exact search, and queries up to which they are sent to every task.
+BLOCK, QUERIES = 4096, 16_384
+#: Terms of queries up to which they are sent to every task, and scores held at a time there.
+TERMS, SCORES = 200_000, 4_000_000
 
 
 def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -35,9 +42,13 @@ def unit(v: str | Column) -> Column:
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): exact inner products of every query with every vector, the k best of each.
 
-    Both sides are cut into blocks by a hash of the key. Each pair of blocks is one matrix product, which keeps its k best
-    a query; blocks meet in an equi-join, no row pairs are made. Null or missing vectors take no part.
+    Up to QUERIES queries, each task multiplies its vectors with all of them and passes on the k best of each query only.
+    Beyond, both sides are cut into blocks by a hash of the key, which meet in an equi-join; each pair of blocks is one
+    matrix product. No row pairs are made. Null vectors take no part.
     """
+    if queries.limit(QUERIES + 1).count() <= QUERIES:
+        found = _multiplied_in_tasks(vectors, queries, k, key, vector)
+        return top(found, k, ["query_id"], [F.desc("score"), F.asc("key")]).select("query_id", "rank", F.col("key").alias(key), "score")
     present = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     n = max(1, -(-present.count() // BLOCK))
@@ -63,6 +74,31 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     return top(found, k, ["query_id"], [F.desc("score"), F.asc("key")]).select("query_id", "rank", F.col("key").alias(key), "score")
 
 
+def _multiplied_in_tasks(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    kind = vectors.schema[key].dataType.simpleString()
+    asked = queries.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).toArrow()
+    ids, q = asked.column("key").combine_chunks(), asked.column("v").combine_chunks()
+    n = len(ids)
+    matrix = q.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+    step = max(1, SCORES // max(1, n))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows if n else 0, step):
+                batch = whole.slice(at, step)
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                s = np.round(matrix @ own.T, DIGITS) + 0.0
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                order = np.argsort(keys, kind="stable")  # ties by key
+                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+                which = np.repeat(np.arange(n), best.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "key", "score"])
+
+    size = F.size(vector) == (matrix.shape[1] if n else -1)
+    present = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull() & size).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return present.mapInArrow(run, f"query_id {kind}, key {kind}, score double")
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "texto") -> DataFrame:
     """(token, key, tf): counted within the row, so nothing is shuffled. Texts without tokens have no postings."""
     own = chunks.select(F.col(key), F.explode(F.array_distinct(T.tokens(text))).alias("token"), T.tokens(text).alias("_all"))
@@ -78,22 +114,64 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
     return queries.select(key, F.explode(T.tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("qw"))
 
 
+_token = re.compile(r"[^\W_]+")
+
+
 def sparse_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "texto") -> DataFrame:
     """(query_id, rank, key, score): sum over shared tokens of query count times (1 + ln tf) ln(1 + N / df), best k.
 
-    The terms of the queries prune the tokens before anything is shuffled; scores are added up map-side per chunk.
+    Up to TERMS query terms, each task scores its chunks against all queries and passes on the k best of each query only.
+    Beyond, terms and postings meet in a shuffled join.
     """
     terms = cut(query_terms(queries))
-    wanted = terms.select("token").distinct()
-    hits = join_checked(chunks.select(key, F.explode(T.tokens(text)).alias("token")), cut(wanted), ["token"], "left_semi")
-    tf = hits.groupBy(key, "token").agg(F.count("*").alias("tf"))
+    wanted = cut(terms.select("token").distinct())
     n = chunks.count()
-    df = cut(tf.groupBy("token").agg(F.count("*").alias("df")))
-    weighed = join_checked(tf, df, ["token"]).select(key, "token", ((1 + F.log("tf")) * F.log(1 + F.lit(float(n)) / F.col("df"))).alias("w"))
-    scored = join_checked(weighed, terms, ["token"]).groupBy("query_id", key).agg(F.round(F.sum(F.col("qw") * F.col("w")), DIGITS).alias("score"))
+    seen = join_checked(chunks.select(F.explode(F.array_distinct(T.tokens(text))).alias("token")), wanted, ["token"], "left_semi")
+    df = cut(seen.groupBy("token").agg(F.count("*").alias("df")).select("token", F.log(1 + F.lit(float(n)) / F.col("df")).alias("idf")))
+    if terms.limit(TERMS + 1).count() <= TERMS:
+        scored = _scored_in_tasks(chunks, terms.join(df, "token"), k, key, text)
+    else:
+        hits = join_checked(chunks.select(key, F.explode(T.tokens(text)).alias("token")), wanted, ["token"], "left_semi")
+        weighed = join_checked(hits.groupBy(key, "token").agg(F.count("*").alias("tf")), df, ["token"]).select(key, "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        scored = join_checked(weighed, terms, ["token"]).groupBy("query_id", key).agg(F.round(F.sum(F.col("qw") * F.col("w")), DIGITS).alias("score"))
     return top(scored.filter("score > 0"), k, ["query_id"], [F.desc("score"), F.asc(key)]).select("query_id", "rank", key, "score")
 
 
+def _scored_in_tasks(chunks: DataFrame, terms: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    rows = terms.select("query_id", "token", (F.col("qw") * F.col("idf")).alias("w")).collect()
+    ids = sorted({r.query_id for r in rows})
+    number = {q: i for i, q in enumerate(ids)}
+    lists: dict[str, list] = {}
+    for r in rows:
+        lists.setdefault(r.token, []).append((number[r.query_id], r.w))
+    postings_ = {t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()}
+    names = np.array(ids, object)
+    step = max(1, SCORES // max(1, len(ids)))
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), step):
+                keys, texts = frame["key"].to_numpy()[at : at + step], frame["text"].to_numpy()[at : at + step]
+                scores = np.zeros((len(texts), len(ids)))
+                for i, t in enumerate(texts):
+                    row = scores[i]
+                    for token, tf in Counter(x for x in _token.findall((t or "").lower()) if x in postings_).items():
+                        where, w = postings_[token]
+                        row[where] += w * (1 + math.log(tf))
+                scores = np.round(scores, DIGITS)
+                order = np.argsort(keys, kind="stable")  # ties by key
+                best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]] if len(texts) > k else np.repeat(order[:, None], len(ids), 1)
+                value = np.take_along_axis(scores, best, 0)
+                keep = value > 0
+                column = np.broadcast_to(np.arange(len(ids)), best.shape)
+                yield pd.DataFrame({"query_id": names[column[keep]], "key": keys[best[keep]], "score": value[keep]})
+
+    if not ids:
+        return chunks.select(F.lit(None).cast("string").alias("query_id"), key, F.lit(0.0).alias("score")).limit(0)
+    kinds = f"query_id {terms.schema['query_id'].dataType.simpleString()}, key {chunks.schema[key].dataType.simpleString()}, score double"
+    return chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull()).mapInPandas(run, kinds).withColumnRenamed("key", key)
+
+
 def fuse(rankings: DataFrame, method: str, weights: dict[int, float] | None = None, k0: int = 60) -> DataFrame:
     """(query_id, rank, item, score). method: combsum, combmnz or rrf. A query with one source keeps its ranking and
     scores, weight or none. Equal scores: by the first source that has the item, then by rank there."""

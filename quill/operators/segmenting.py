@@ -29,25 +29,38 @@ CUT, BODY = "\x01", "\x02"
 def false_break(left: Column) -> Column:
     """Whether the boundary after this text is none: abbreviation, inner dots, initial or number."""
     token = F.lower(F.rtrim(F.regexp_extract(left, "(?U)([\\wÀ-ÿ.]+)[\"'”’)\\]]*\\s*$", 1), F.lit(".")))
-    return (token != "") & (token.isin(*ABBREVIATIONS) | token.contains(".") | (F.length(token) == 1) | token.rlike(r"^\p{Nd}+$"))
+    known = F.lit("|" + "|".join(ABBREVIATIONS) + "|")
+    return T.let(token, lambda t: (t != "") & ((F.length(t) == 1) | t.contains(".") | t.rlike(r"^\p{Nd}+$") | known.contains(F.concat(F.lit("|"), t, F.lit("|")))))
 
 
 def sentence_array(text: str | Column) -> Column:
-    """Sentences of a text whose white space has been collapsed; empty array for an empty text, null for null."""
+    """Sentences of a text whose white space has been collapsed; empty array for an empty text, null for null.
+
+    Boundaries are marked and cut; a piece starts a sentence unless the one before ends in a false break. Each sentence is
+    the slice of pieces from one start to the next, so the work is linear in the text.
+    """
     marked = F.regexp_replace(T.lit_or_col(text), BOUNDARY, f"$1{CUT}$2{BODY}$3")
-    pieces = F.transform(F.split(marked, CUT), lambda p: F.struct(F.when(p.contains(BODY), F.substring_index(p, BODY, 1)).otherwise("").alias("gap"), F.substring_index(p, BODY, -1).alias("body")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(None).cast("string").alias("last"))
 
-    def step(acc: Column, p: Column) -> Column:
-        goes_on = acc["last"].isNull() | false_break(acc["last"])
-        return F.struct(
-            F.when(goes_on, acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])).alias("done"),
-            F.when(acc["last"].isNull(), p["body"]).when(goes_on, F.concat(acc["now"], p["gap"], p["body"])).otherwise(p["body"]).alias("now"),
-            p["body"].alias("last"),
-        )
+    def piece(p: Column) -> Column:
+        body = F.substring_index(p, BODY, -1)
+        # only the end of a piece decides; a long piece isn't searched from its start
+        return F.struct(F.when(p.contains(BODY), F.substring_index(p, BODY, 1)).otherwise("").alias("gap"), body.alias("body"), false_break(F.right(body, F.lit(40))).alias("fb"))
+
+    def glued(pieces: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: (i == 1) | ~F.element_at(pieces, F.greatest(i - 1, F.lit(1)))["fb"])
+
+        def sentence(starts: Column) -> Column:
+            def one(s: Column, k: Column) -> Column:
+                after = F.coalesce(F.try_element_at(starts, k + 2), F.size(pieces) + 1)
+                rest = F.transform(F.slice(pieces, s + 1, after - s - 1), lambda p: F.concat(p["gap"], p["body"]))
+                first = F.element_at(pieces, s)["body"]
+                return T.strip(F.when(after == s + 1, first).otherwise(F.concat(first, F.array_join(rest, ""))))
+
+            return F.transform(starts, one)
+
+        return T.let(starts, sentence)
 
-    folded = F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
-    return F.filter(F.transform(folded, T.strip), lambda s: s != "")
+    return F.filter(T.let(F.transform(F.split(marked, CUT), piece), glued), lambda s: s != "")
 
 
 def capped(sentences: Column, most: int) -> Column:

@@ -62,4 +62,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder. One that comes in far fewer splits than there are cores (small files of one row group) is
+    spread over them; a large table never is."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if 2 * table.rdd.getNumPartitions() <= cores else table
