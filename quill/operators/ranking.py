@@ -243,7 +243,10 @@ def fragments_of(ranked: DataFrame, n: int = 10, words: int = 250, least: int =
     """ranked: (query_id, rank, chunk_id, doc_id, text). (query_id, rank, chunk_id, doc_id, text): parts of at most
     ``words`` words, without repeats (case and white space apart), well-formed ones of ``least`` words first, others only
     to fill up to n."""
-    parts = ranked.select("query_id", "rank", "chunk_id", "doc_id", F.posexplode(output_parts(F.col("text"), words)).alias("part", "text")).filter(F.col("text") != "")
+    sized = ranked.select("query_id", "rank", "chunk_id", "doc_id", "text", T.word_count("text").alias("_w"))
+    whole = sized.filter(F.col("_w") <= words).select("query_id", "rank", "chunk_id", "doc_id", F.lit(0).alias("part"), T.strip("text").alias("text"))
+    cut_up = sized.filter(F.col("_w") > words).select("query_id", "rank", "chunk_id", "doc_id", F.posexplode(output_parts(F.col("text"), words)).alias("part", "text"))
+    parts = whole.unionByName(cut_up).filter(F.col("text") != "")
     keyed = parts.withColumn("_k", F.xxhash64(F.array_join(T.words(F.lower("text")), " ")))
     first = top(keyed, 1, ["query_id", "_k"], [F.asc("rank"), F.asc("part"), F.asc("chunk_id")], "_i")
     order = [((T.word_count("text") < least) | ~T.well_formed("text")).asc(), F.asc("rank"), F.asc("part"), F.asc("chunk_id")]

@@ -101,39 +101,56 @@ def _packed(sentences: Column, sizes: Column, most: int, overlap: int) -> Column
     return F.transform(ranges, lambda r, i: F.struct(i.alias("posicion"), F.array_join(F.slice(sentences, r["a"] + 1, r["b"] - r["a"]), " ").alias("texto"), r["n"].alias("num_tokens")))
 
 
-def _packed_texts(parts: Column, most: int) -> Column:
-    return F.transform(packed(parts, most, 0), lambda c: c["texto"])
+def _joined(parts: Column, most: int) -> Column:
+    """parts: array<struct<text, alone>>. Texts packed up to ``most`` words without overlap; a part marked alone stays so."""
+
+    def ranges(own: Column) -> Column:
+        sized = F.transform(own, lambda p: F.struct(T.word_count(p["text"]).alias("n"), p["alone"].alias("alone")))
+        empty = F.array().cast("array<struct<a:int,b:int>>")
+        start = F.struct(empty.alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(False).alias("shut"))
+
+        def step(acc: Column, p: Column) -> Column:
+            full = (acc["b"] > acc["a"]) & (acc["shut"] | p["alone"] | (acc["n"] + p["n"] > most))
+            return F.struct(
+                F.when(full, F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))).otherwise(acc["done"]).alias("done"),
+                F.when(full, acc["b"]).otherwise(acc["a"]).alias("a"),
+                (acc["b"] + 1).alias("b"),
+                (F.when(full, 0).otherwise(acc["n"]) + p["n"]).alias("n"),
+                p["alone"].alias("shut"),
+            )
+
+        last = lambda acc: F.when(acc["b"] > acc["a"], F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))).otherwise(acc["done"])
+        return F.transform(F.aggregate(sized, start, step, last), lambda r: F.array_join(F.transform(F.slice(own, r["a"] + 1, r["b"] - r["a"]), lambda p: p["text"]), " "))
+
+    return T.let(parts, ranges)
 
 
 def secondary(sentence: Column, most: int) -> Column:
     """An overlong sentence cut at the first kind of secondary boundary whose parts all fit, else into windows of words."""
-    tries = []
-    for mark in SECONDARY:
-        parts = F.filter(F.transform(F.split(sentence, f"\\Q{mark}\\E", -1), T.strip), lambda p: p != "")
 
-        def fitting(parts: Column) -> Column:
-            return T.let(_packed_texts(parts, most), lambda done: F.when((F.size(parts) >= 2) & F.forall(done, lambda s: T.word_count(s) <= most), done))
+    def tried(mark: Column) -> Column:
+        pieces = F.filter(F.transform(F.split(sentence, F.concat(F.lit("\\Q"), mark, F.lit("\\E")), -1), T.strip), lambda p: p != "")
+        parts = F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(False).alias("alone")))
+        return F.when(sentence.contains(mark), T.let(parts, lambda own: F.when(F.size(own) >= 2, _joined(own, most))))
 
-        tries.append(F.when(sentence.contains(mark), T.let(parts, fitting)))
-    return F.coalesce(*tries, capped(F.array(sentence), most))
+    tries = F.transform(F.array(*[F.lit(m) for m in SECONDARY]), tried)
+    fitting = F.filter(tries, lambda t: t.isNotNull() & F.forall(t, lambda x: T.word_count(x) <= most))
+    return F.coalesce(F.try_element_at(fitting, F.lit(1)), capped(F.array(sentence), most))
 
 
 def output_parts(text: str | Column, most: int = 250) -> Column:
-    """Parts of at most ``most`` words made of whole sentences, without overlap."""
-    c = T.lit_or_col(text)
-    sentences = sentence_array(c)
-    # runs between overlong sentences are packed apart; windows() marks where they lie
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
+    """Parts of at most ``most`` words made of whole sentences, without overlap; overlong sentences are cut and not mixed
+    with their neighbours."""
 
-    def flush(acc: Column) -> Column:
-        return F.concat(acc["out"], _packed_texts(acc["run"], most))
+    def parts(s: Column) -> Column:
+        short = F.array(F.struct(s.alias("text"), F.lit(False).alias("alone")))
+        return F.when(T.word_count(s) <= most, short).otherwise(F.transform(secondary(s, most), lambda x: F.struct(x.alias("text"), F.lit(True).alias("alone"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        long = T.word_count(s) > most
-        return F.struct(F.when(long, F.concat(flush(acc), secondary(s, most))).otherwise(acc["out"]).alias("out"), F.when(long, F.array().cast("array<string>")).otherwise(F.array_append(acc["run"], s)).alias("run"))
+    def divided(c: Column) -> Column:
+        joined = F.filter(F.transform(_joined(F.flatten(F.transform(sentence_array(c), parts)), most), T.strip), lambda x: x != "")
+        return F.when(T.word_count(c) <= most, F.array(T.strip(c))).otherwise(joined)
 
-    folded = F.filter(F.aggregate(sentences, start, step, flush), lambda x: x != "")
-    return F.when(T.word_count(c) <= most, F.array(T.strip(c))).otherwise(folded)
+    return T.let(T.lit_or_col(text), divided)
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 384, overlap: int = 1) -> DataFrame:
