@@ -89,6 +89,11 @@ def cleaned(docs: DataFrame, text: str = "text", drop_boilerplate: bool = True)
     return docs.withColumn(text, unicode_fix(text)).withColumn(text, clean(text, drop_boilerplate))
 
 
+def cleaned_pages(docs: DataFrame, pages: str, text: str = "text", drop_boilerplate: bool = True) -> DataFrame:
+    """docs with a column of clean text made of an array of pages."""
+    return cleaned(docs.withColumn(text, F.array_join(pages, "\n")), text, drop_boilerplate)
+
+
 def dehyphenate(text: str | Column) -> Column:
     """Joins a line that ends in letter and hyphen to the next if that begins with a small letter."""
     return F.regexp_replace(lit_or_col(text), r"([A-Za-zÀ-ÿ])-\n(?=\p{Ll})", "$1")

@@ -100,13 +100,7 @@ def _multiplied_in_tasks(vectors: DataFrame, queries: DataFrame, k: int, key: st
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "texto") -> DataFrame:
-    """(token, key, tf): counted within the row, so nothing is shuffled. Texts without tokens have no postings."""
-    own = chunks.select(F.col(key), F.explode(F.array_distinct(T.tokens(text))).alias("token"), T.tokens(text).alias("_all"))
-    return own.select("token", key, F.size(F.filter("_all", lambda x: x == F.col("token"))).cast("bigint").alias("tf"))
-
-
-def postings_counted(chunks: DataFrame, key: str = "chunk_id", text: str = "texto") -> DataFrame:
-    """(token, key, tf) by one aggregation; for long texts cheaper than counting within the row."""
+    """(token, key, tf). Texts without tokens have no postings; counts are added up map-side before they are shuffled."""
     return chunks.select(key, F.explode(T.tokens(text)).alias("token")).groupBy("token", key).agg(F.count("*").alias("tf"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quill.functions import text as T
-from quill.operators import evaluation as E, graph as G, ranking as R, segmenting as S
+from quill.operators import approximate as A, evaluation as E, graph as G, ranking as R, segmenting as S
 from quill.plans import pipeline
 from quill.plans.oracles import SQL
 from quill.session import read_table, shared_folder, written
@@ -218,9 +218,17 @@ def dense_topk(s, d):
     return R.dense_top(v, v.filter("vec_id % 20 = 0"), 10)
 
 
+@query
+def dense_topk_cells(s, d):
+    """Approximate search; tests hold its recall against dense_topk."""
+    v = read_table(s, d, "embeddings")
+    fitted = A.centres(v)
+    return A.approximate_top(A.index(v, fitted), fitted, v.filter("vec_id % 20 = 0"), 10)
+
+
 @query
 def postings_build(s, d):
-    return R.postings_counted(texts(s, d))
+    return R.postings(texts(s, d))
 
 
 @query
@@ -230,13 +238,13 @@ def sparse_topk(s, d):
 
 @query
 def index_stats(s, d):
-    p = R.postings_counted(texts(s, d))
+    p = R.postings(texts(s, d))
     return p.agg(F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("token").alias("tokens"), F.sum("tf").alias("occurrences"))
 
 
 @query
 def vector_store(s, d):
-    path = f"{shared_folder(s)}/vectors-{tempfile.mktemp(dir='').strip('/')}"
+    path = f"{shared_folder(s)}/vectors-{uuid.uuid4().hex}"
     stores.save_vectors(read_table(s, d, "embeddings"), path)
     return stores.load_vectors(s, path).select("vec_id", "label")
 
@@ -553,7 +561,7 @@ def scans_to_read(s, d):
 
 @query
 def jsonl_roundtrip(s, d):
-    path = f"{shared_folder(s)}/jsonl-{tempfile.mktemp(dir='').strip('/')}"
+    path = f"{shared_folder(s)}/jsonl-{uuid.uuid4().hex}"
     rows = asked(s, d).select("query_id", "text", "idioma", "fenomeno")
     files.write_jsonl(rows, path, ["query_id"])
     return files.read_jsonl(s, path, rows.schema)

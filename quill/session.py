@@ -47,6 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _drop_written() -> None:
+    """Removes the tables of this process, where the shared folder is mounted; elsewhere its owner's expiry rule does."""
+    for path in _written:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run df once and cut its lineage in the shared folder; freed by the context cleaner."""
     shared_folder(df.sparkSession)
@@ -57,6 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut, as a compressed columnar table, for wide intermediate rows read more than once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -135,6 +135,19 @@ def test_dense_top_by_brute_force(spark):
     assert got == {(q, k + 1): int(i) for q in range(0, 90, 20) for k, i in enumerate(np.lexsort((np.arange(90), -s[q]))[:5])}
 
 
+def test_approximate_search_recall(spark, folder):
+    from quill.plans import registry
+
+    exact = {(r.query_id, r.vec_id) for r in registry.dense_topk(spark, folder).collect()}
+    found = {(r.query_id, r.vec_id) for r in registry.dense_topk_cells(spark, folder).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_clean_pages(spark):
+    df = spark.createDataFrame([(1, ["one con-", "tinued page", "HEAD"]), (2, None)], "i int, pages array<string>")
+    assert {r.i: r.text for r in T.cleaned_pages(df, "pages").collect()} == {1: "one continued page HEAD", 2: None}
+
+
 def test_diverse_documents(spark):
     rows = [("q", 1, "a", [1.0, 0.0]), ("q", 2, "b", [1.0, 0.01]), ("q", 3, "c", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "query_id string, rank int, doc string, centroid array<double>")
