@@ -51,8 +51,9 @@ def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     texts = _both(spark, folder).select(F.struct("tab", "item").alias("id"), "text")
-    flat = texts.select(F.concat_ws("\x1f", "id.tab", "id.item").alias("key"), "text")
-    return splitting.split_oversized(flat, "key").select(F.split_part("key", F.lit("\x1f"), F.lit(1)).alias("tab"), F.expr("substring(key, instr(key, chr(31)) + 1)").alias("item"), "piece", "start", "shared", "text")
+    flat = texts.select(F.concat_ws("\x1f", "id.tab", F.coalesce("id.item", F.lit("\x1e"))).alias("key"), "text")
+    item = F.expr("nullif(substring(key, instr(key, chr(31)) + 1), chr(30))")
+    return splitting.split_oversized(flat, "key").select(F.split_part("key", F.lit("\x1f"), F.lit(1)).alias("tab"), item.alias("item"), "piece", "start", "shared", "text")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:

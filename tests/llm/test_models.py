@@ -195,3 +195,10 @@ def test_every_query_runs(spark, folder):
 
     for name, f in queries.queries().items():
         assert f(spark, folder).count() >= 0, name
+
+
+def test_every_query_on_empty_tables(spark, empty_folder):
+    from quill.llm import queries
+
+    for name, f in queries.queries().items():
+        assert f(spark, empty_folder).count() == 0, name
