@@ -21,3 +21,14 @@ def spark():
 @pytest.fixture(scope="session")
 def folder():
     return FOLDER
+
+
+@pytest.fixture(scope="session")
+def empty_folder(spark, folder, tmp_path_factory):
+    """The tables without rows."""
+    import glob
+
+    out = tmp_path_factory.mktemp("empty")
+    for path in glob.glob(f"{folder}/*.parquet"):
+        spark.read.parquet(path).limit(0).write.parquet(str(out / os.path.basename(path)))
+    return str(out)

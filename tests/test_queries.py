@@ -44,3 +44,9 @@ def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["query_id", "kind", "rank", "item", "text"] and df.count() > 0
     assert set(registry.queries()) <= set(entry_module.queries())
+
+
+def test_every_query_on_empty_tables(spark, empty_folder):
+    single = {"index_stats", "qa_fragments", "evaluate", "ab_indicators"}  # aggregates over everything have one row
+    for name, f in registry.queries().items():
+        assert f(spark, empty_folder).count() <= (name in single), name
