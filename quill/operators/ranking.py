@@ -239,7 +239,10 @@ def fragments_of(ranked: DataFrame, n: int = 10, words: int = 250, least: int =
     to fill up to n."""
     sized = ranked.select("query_id", "rank", "chunk_id", "doc_id", "text", T.word_count("text").alias("_w"))
     whole = sized.filter(F.col("_w") <= words).select("query_id", "rank", "chunk_id", "doc_id", F.lit(0).alias("part"), T.strip("text").alias("text"))
-    cut_up = sized.filter(F.col("_w") > words).select("query_id", "rank", "chunk_id", "doc_id", F.posexplode(output_parts(F.col("text"), words)).alias("part", "text"))
+    # a chunk that many queries find is divided once
+    long = sized.filter(F.col("_w") > words).withColumn("_h", F.xxhash64("text"))
+    divided = long.select("chunk_id", "_h", "text").distinct().select("chunk_id", "_h", F.posexplode(output_parts(F.col("text"), words)).alias("part", "text"))
+    cut_up = long.drop("text").join(divided, ["chunk_id", "_h"]).select("query_id", "rank", "chunk_id", "doc_id", "part", "text")
     parts = whole.unionByName(cut_up).filter(F.col("text") != "")
     keyed = parts.withColumn("_k", F.xxhash64(F.array_join(T.words(F.lower("text")), " ")))
     first = top(keyed, 1, ["query_id", "_k"], [F.asc("rank"), F.asc("part"), F.asc("chunk_id")], "_i")
