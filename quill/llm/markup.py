@@ -2,8 +2,9 @@
 
 The markup language is told from the text (labels are often wrong); a reader for it cuts the text into blocks: heading,
 list item, code block, formula, and prose. Structural blocks are kept as such. Prose blocks are classified in two
-passes by stop-word density, length and link density: the first pass decides clear blocks, the second lets short or
-ambiguous blocks inherit the label of their nearest decided neighbours; blocks labelled boilerplate are left out.
+passes by stop-word density (where a list fits the script and the language), length and link density: the first pass
+decides clear blocks, the second lets short or ambiguous blocks inherit the label of their nearest decided neighbours;
+blocks labelled boilerplate are left out.
 
 Defined results: texts without markup have no elements and come out unchanged; null stays null; an unclosed element
 ends where the next block begins.
@@ -410,36 +411,91 @@ def read_markdown(text: str) -> list[Block]:
 
 READERS = {"html": read_html, "wiki": read_wiki, "latex": read_latex, "markdown": read_markdown}
 
-#: Frequent function words of the languages written with spaces.
-STOP_WORDS = frozenset(
-    "de la el en y los las del un una con por para que se a su al o the of and to in for on with that by is at as from or its "
-    "le les des du et est dans pour par sur une au aux que der die das und von des im den mit für ein eine zu auf dem nach "
-    "o os da do dos das em e um uma com por no na nos nas и в на по с из за не к для в من في على إلى مع عن أن की के में से और का ने".split()
-)
-GOOD_LENGTH, SHORT_LENGTH = 140, 70
-HIGH_STOPS, LOW_STOPS, HIGH_LINKS = 0.22, 0.12, 0.4
+#: Frequent function words by script. The five Latin-script languages share many and so have one list.
+STOP_WORDS = {
+    "latin": frozenset(
+        "de la el en y los las del un una con por para que se a su al o the of and to in for on with that by is at as from or its "
+        "le les des du et est dans pour par sur une au aux que der die das und von des im den mit für ein eine zu auf dem nach "
+        "o os da do dos das em e um uma com por no na nos nas".split()
+    ),
+    "cyrillic": frozenset(
+        "и в во на с со по из за не к ко для о об от до у при под над после перед между без через что чтобы как это этот эта эти этого этой а но "
+        "или же бы ли то так также был была было были его её ее их он она они мы я вы который которая которое которые которых все всех кто если "
+        "когда уже ещё еще только".split()
+    ),
+    "arabic": frozenset(
+        "في من على إلى عن مع أن إن التي الذي الذين هذا هذه ذلك تلك بعد قبل بين كما لا لم لن ما كان كانت قد وقد أو ثم كل خلال حتى عند غير دون تحت فوق "
+        "ومن وفي منذ أي هو هي هل وهو وهي لكن بسبب حول ضد منها فيه فيها".split()
+    ),
+    "devanagari": frozenset(
+        "के की का में से और को ने है हैं पर यह वह एक लिए कि ही भी तो था थी थे इस उस जो या नहीं ये वे अपने अपनी अपना किया गया बाद तक साथ कर हो इन उन कोई कुछ "
+        "बिना".split()
+    ),
+}
+#: Densities of stop words from which a long block, or a short one, is text: es, en, pt, fr, de together, ru, ar, hi.
+LOW_STOPS = {"latin": 0.1, "cyrillic": 0.05, "arabic": 0.09, "devanagari": 0.2}
+HIGH_STOPS = {"latin": 0.22, "cyrillic": 0.12, "arabic": 0.18, "devanagari": 0.3}
+GOOD_LENGTH, SHORT_LENGTH, HIGH_LINKS = 140, 70, 0.4
+
+_marks = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c)[0] == "M")
+#: Words; vowel signs and other combining marks belong to them.
+_words = re.compile(rf"\w[\w{_marks}]*")
+_scripts = {
+    "latin": re.compile("[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]"),
+    "cyrillic": re.compile("[Ѐ-ԯ]"),
+    "arabic": re.compile("[\u0620-\u064a\u066e-\u06d3\u0750-\u077f]"),
+    "devanagari": re.compile("[\u0904-\u0939\u0958-\u0961]"),
+    "ideographic": re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"),
+}
+
+
+def script_of(text: str) -> str:
+    """The script of most letters: one of _scripts or 'other'; 'latin' where there are none."""
+    letters = sum(map(str.isalpha, text))
+    best, most = "latin", 0
+    for name, pattern in _scripts.items():
+        n = len(pattern.findall(text))
+        letters -= n
+        if n > most:
+            best, most = name, n
+    return "other" if letters > most else best
 
 
 def decide(blocks: list[Block]) -> list[bool]:
-    """Whether to keep each block: clear ones first, then short or ambiguous ones as their nearest decided neighbours."""
+    """Whether to keep each block: clear ones first, then short or ambiguous ones as their nearest decided neighbours.
+
+    Stop words speak against a long block only where a list fits: the script has one, and all prose of that script in the
+    text together reaches its density. Long blocks of other scripts and languages are kept, unless they consist of links.
+    """
+    measured: dict[int, tuple[str, int, int]] = {}
+    whole: dict[str, list[int]] = {}
+    for i, b in enumerate(blocks):
+        if b.kind == "prose":
+            script = script_of(b.content)
+            words = _words.findall(b.content.lower())
+            stops = sum(w in STOP_WORDS[script] for w in words) if script in STOP_WORDS else 0
+            measured[i] = script, len(words), stops
+            total = whole.setdefault(script, [0, 0])
+            total[0] += len(words)
+            total[1] += stops
+    fits = {script for script, (words, stops) in whole.items() if script in STOP_WORDS and stops >= LOW_STOPS[script] * max(1, words)}
     labels: list[bool | None] = []
-    for b in blocks:
-        if b.kind != "prose":
+    for i, b in enumerate(blocks):
+        if i not in measured:
             labels.append(True)
             continue
-        words = re.findall(r"\w+", b.content.lower())
-        spaced = len(words) * 12 > len(b.content)
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.links > HIGH_LINKS * len(b.content):
-            labels.append(False)
-        elif not spaced:
-            labels.append(True if len(b.content) >= SHORT_LENGTH // 3 else None)
-        elif len(b.content) >= GOOD_LENGTH and density >= LOW_STOPS or len(b.content) >= SHORT_LENGTH and density >= HIGH_STOPS:
-            labels.append(True)
-        elif len(b.content) >= GOOD_LENGTH:
+        script, words, stops = measured[i]
+        size = len(b.content)
+        if b.links > HIGH_LINKS * size:
             labels.append(False)
+        elif script == "ideographic" or words * 12 <= size and script in STOP_WORDS:
+            labels.append(True if size >= SHORT_LENGTH // 3 else None)
+        elif script not in fits:
+            labels.append(True if size >= GOOD_LENGTH else None)
+        elif size >= GOOD_LENGTH:
+            labels.append(stops >= LOW_STOPS[script] * words)
         else:
-            labels.append(None)
+            labels.append(True if size >= SHORT_LENGTH and stops >= HIGH_STOPS[script] * words else None)
     out = []
     for i, x in enumerate(labels):
         if x is None:

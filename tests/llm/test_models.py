@@ -91,6 +91,30 @@ def test_short_blocks_inherit_their_neighbours_label():
     assert "A short line" in out and "Share" not in out and "Contact" not in out
 
 
+LONG = {
+    "hi": "तब से राकारी के सीमावर्ती न्यायालय ने लंबे विवाद के बाद ग्रामीण प्रणाली की आलोचना की। निवासियों के अनुसार रीलीकाली के तकनीकी केंद्र ने वर्षा ऋतु में कक्षीय संधि की घोषणा की और नई योजना को गाँव के लोगों के लिए प्रकाशित किया।",
+    "th": "กระทรวงอิสระในเฟโกตูโกได้ตรวจสอบแผนที่แม่น้ำของเฟฮาเฟรวม 2540 กรณี อย่างไรก็ตามคณะกรรมการชายแดนของมาคาสาได้เลื่อนระเบียงชนบทหลังข้อพิพาทยาวนาน ดร.เนรีโกกล่าวว่าต้องเลื่อนดาวเทียมวงโคจรภายใต้การกำกับของพลเรือน",
+    "ru": "«Нужен речной договор. Старый план устарел», — заявил Ведобака без согласия общин. Приграничный комитет района Паками описал сельский проект, т. е. 5354 случая в городе Ратумиве. Региональный институт оценил миграционный коридор.",
+    "ar": "وفقا للسكان، وسّع الفريق الإقليمي في راراكا البروتوكول الصحي بعد نزاع طويل. قال د. ساتودوكا: «لا يكفي البروتوكول التنبؤي. نحتاج إلى فريق آخر». وفقا للسكان، قيّم المعهد الأولي في ريزافيمي البروتوكول الإقليمي رغم نقص البيانات.",
+    "ja": "ソソズは「農村衛星では足りない。新しい常設委員会が必要だ。」と述べた。 ソサハモは「河川計画では足りない。新しい自治協議会が必要だ。」と述べた。 ルモトソは「保健アルゴリズムでは足りない。新しい技術裁判所が必要だ。」と述べた。 誰が計画を公表したのか？ 村の人々は新しい計画を待っている。",
+    "tr": "Bağımsız kurul, nehir haritasını uzun tartışmalardan sonra yeniden değerlendirdi. Köylerde yaşayanlara göre bölgesel merkez, yağmur mevsiminde yeni yörünge anlaşmasını yayımladı ve eksik verilere rağmen planı onayladı.",
+}
+
+
+@pytest.mark.parametrize("lang", LONG)
+def test_long_paragraphs_of_any_language_stay(lang):
+    menu = "[Home](u) [News](u) [Contact](u) [About](u) [Login](u) [Help](u)"
+    assert len(LONG[lang]) >= markup.GOOD_LENGTH
+    assert markup.render(markup.read_markdown(f"{menu}\n\n{LONG[lang]}\n\n{menu}")) == LONG[lang]
+
+
+def test_long_lists_of_names_go_where_the_stop_words_fit():
+    names = {"ru": "Главная страница Новости Карта Контакты Вход Помощь Архив Реклама " * 3, "hi": "मुखपृष्ठ समाचार मानचित्र संपर्क प्रवेश सहायता अभिलेख विज्ञापन " * 3, "ar": "الرئيسية الأخبار الخريطة اتصال دخول مساعدة أرشيف إعلانات " * 3}
+    for lang, line in names.items():
+        body = "\n\n".join([LONG[lang]] * 3)
+        assert markup.render(markup.read_markdown(f"{body}\n\n{line.strip()}")) == body
+
+
 # p6
 
 
