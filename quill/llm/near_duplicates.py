@@ -337,25 +337,39 @@ def similar_records(df: DataFrame, threshold: float = THRESHOLD, within: int = W
     return both.select("tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def groups(df: DataFrame, threshold: float = THRESHOLD, rounds: int = 50) -> DataFrame:
+def _nearest(links: DataFrame) -> DataFrame:
+    """links: (u, v). The same with m, the least of u and its neighbours."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    return links.join(least.select("u", F.least("u", "m").alias("m")), "u")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: (a, b). (c, l): each node and the least node of its connected component.
+
+    Large and small stars in turn: every node hands its larger neighbours, then itself and its smaller ones, to the least
+    of them. The rounds grow with the logarithm of the nodes, also on chains; they end when only stars are left.
+    """
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = _nearest(cut(large))
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(near.select("u", F.col("m").alias("v")))
+        links = cut(small.distinct())
+        ends = links.select(F.col("u").alias("c"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("c"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("c").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").head(1):
+            break
+    return links.select(F.col("u").alias("c"), F.col("v").alias("l")).unionByName(links.select(F.col("v").alias("c"), F.col("v").alias("l")).distinct())
+
+
+def groups(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(tab, id, group_id string, links bigint), one row for each record with a text: the connected component of similar
     records, named by its first record, and how many different texts the record's own is linked to.
-
-    Components by repeated minimum over edges, halving distances through the neighbours' labels; lineage is cut each round.
     """
     pairs, members = similar_texts(df, threshold)
-    edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(edges.select(F.col("a").alias("c")).distinct().withColumn("l", F.col("c")))
-    for _ in range(rounds):
-        to = labels.select(F.col("c").alias("b"), F.col("l").alias("m"))
-        near = edges.join(to, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("c"), "m")
-        step = labels.join(near, "c").select("c", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved"))
-        jump = step.join(step.select(F.col("c").alias("l"), F.col("l").alias("l2")), "l", "left").select("c", F.least("l", F.coalesce("l2", "l")).alias("l"), "moved")
-        labels = cut(jump)
-        if not labels.filter("moved").head(1):
-            break
-        labels = labels.select("c", "l")
+    labels = components(pairs)
+    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = edges.groupBy(F.col("a").alias("c")).agg(F.count("*").alias("links"))
-    known = members.join(labels.select("c", "l"), "c", "left").join(links, "c", "left").select("tab", "id", F.coalesce("l", "c").alias("l"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = members.join(labels, "c", "left").join(links, "c", "left").select("tab", "id", F.coalesce("l", "c").alias("l"), F.coalesce("links", F.lit(0)).alias("links"))
     names = known.groupBy("tab", "l").agg(F.min("id").alias("group_id"))
     return known.join(names, ["tab", "l"]).select("tab", "id", "group_id", "links")

@@ -194,6 +194,33 @@ def test_similar_records_by_brute_force(spark):
     assert near_duplicates.similar_records(df.filter("id = 'none'")).count() == 0
 
 
+def test_a_chain_of_edited_texts_is_one_group(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20 * 300 + 200))
+    rows = [("chunk_meta", f"c{i:03}", line[20 * i : 20 * i + 200]) for i in range(300)]  # alike only to the next
+    out = near_duplicates.groups(spark.createDataFrame(rows, "tab string, id string, text string")).collect()
+    assert len(out) == 300 and {r.group_id for r in out} == {"c000"}
+    assert sorted(r.links for r in out) == [1, 1] + [2] * 298
+
+
+def test_components_of_paths_and_random_graphs(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(-(10**9), 10**9), 1500)
+    edges = list(zip(ids[:1000], ids[1:1000])) + [tuple(rng.sample(ids[1000:], 2)) for _ in range(300)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = near_duplicates.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert len(got) == len(root) and {r.c: r.l for r in got} == {x: find(x) for x in root}
+
+
 def test_trie_join_is_exact():
     import numpy as np
 
