@@ -35,8 +35,10 @@ WIDE = {chr(cp + 0xFEE0): chr(cp) for cp in range(0x21, 0x7F)}
 #: Look-alikes as a translation table, for operators that compare words.
 FOLD = str.maketrans(LOOKALIKES)
 VISIBLE = 20
-#: Copies up to which a class is listed pair by pair; a larger one is listed as pairs with its first document.
+#: Copies up to which an equal text is listed document by document; of more, all but the first are paired with first documents only.
 PAIRS_WITHIN = 64
+#: Documents of a class above which its pairs are made in blocks.
+BLOCK = 1024
 
 
 def quoted(s: str) -> str:
@@ -93,21 +95,27 @@ def form_digests(df: DataFrame, key: str = "doc_id", text: str = "text", visible
 def equal_looking(df: DataFrame, key: str = "doc_id", text: str = "text", within: int = PAIRS_WITHIN) -> DataFrame:
     """(doc_a, doc_b): pairs of texts that look the same but differ in code points.
 
-    Digests alone are shuffled. Of each form with more than one text, all pairs of differing texts come out; a form that
-    more than ``within`` documents share gives pairs with its first document and, for documents whose text equals the
-    first one's, with the first of the others, so that every document of the class stays linked.
+    Digests alone are shuffled. Of each form with more than one text, all pairs of differing texts come out, for every
+    document of a text; of a text that more than ``within`` documents share, all but the first document are paired only with
+    the first documents of the other texts. Pairs of a form of many documents are made in blocks, spread over the tasks.
     """
     digests = written(form_digests(df, key, text), "forms")
-    classes = (
-        digests.groupBy("form_id")
-        .agg(F.count("*").alias("n"), F.min("text_id").alias("lo"), F.max("text_id").alias("hi"), F.min(F.struct(key, "text_id")).alias("first"))
-        .filter("lo <> hi")
-    )
-    members = digests.join(classes.select("form_id", "n", "first"), "form_id")
-    small = members.filter(F.col("n") <= within)
-    a, b = (small.select("form_id", F.col(key).alias(f"doc_{s}"), F.col("text_id").alias(f"text_{s}")) for s in "ab")
-    pairs = a.join(b, "form_id").filter("doc_a < doc_b AND text_a <> text_b").select("doc_a", "doc_b")
-    large = members.filter(F.col("n") > within).withColumn("as_first", F.col("text_id") == F.col("first.text_id"))
-    other = large.filter(~F.col("as_first")).groupBy("form_id").agg(F.min(key).alias("other"))
-    star = large.join(other, "form_id").select(F.col(key).alias("x"), F.when(F.col("as_first"), F.col("other")).otherwise(F.col(f"first.{key}")).alias("y"))
-    return pairs.unionByName(star.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct())
+    classes = digests.groupBy("form_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo <> hi")
+    members = written(digests.join(classes.select("form_id"), "form_id"), "looks")
+    texts = members.groupBy("form_id", "text_id").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    sizes = texts.groupBy("form_id").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("n") <= within, F.col("n")).otherwise(1)).alias("listed"))
+
+    def blocks(of: str):
+        return F.ceil(F.col(of) / BLOCK).cast("int")
+
+    known = members.join(texts, ["form_id", "text_id"]).join(sizes, "form_id").select("form_id", "text_id", F.col(key).alias("doc"), "n", "first", "size", "listed")
+    known = known.withColumn("lead", F.col("doc") == F.col("first"))
+    listed = known.filter((F.col("n") <= within) | F.col("lead")).withColumn("block", F.pmod(F.xxhash64("doc"), blocks("listed")).cast("int"))
+    left = listed.select("form_id", F.col("doc").alias("x"), F.col("text_id").alias("text_x"), F.col("block").alias("i"), F.explode(F.sequence("block", blocks("listed") - 1)).alias("j"))
+    right = listed.select("form_id", F.col("doc").alias("y"), F.col("text_id").alias("text_y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    pairs = left.join(right, ["form_id", "i", "j"]).filter("text_x <> text_y AND (i < j OR x < y)").select("x", "y")
+    others = known.filter((F.col("n") > within) & ~F.col("lead")).select("form_id", F.col("doc").alias("x"), F.col("text_id").alias("text_x"), F.pmod(F.xxhash64("doc"), blocks("size")).cast("int").alias("i"))
+    leads = known.filter("lead").select("form_id", F.col("doc").alias("y"), F.col("text_id").alias("text_y"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("i"))
+    star = others.join(leads, ["form_id", "i"]).filter("text_x <> text_y").select("x", "y")
+    both = pairs.unionByName(star).filter("x <> y")
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))

@@ -214,6 +214,35 @@ def test_equal_looking(spark):
     assert forms[8] is None and forms[9] == "" and len({forms[i] for i in alike}) == 1 and forms[7] != forms[1]
 
 
+def variants(n):
+    """Texts of one look: the same words with Cyrillic letters in other places."""
+    base = "The panel measured the river agreement in Zamribor, official."
+    at = [i for i, c in enumerate(base) if c == "e"]
+    return ["".join("е" if i in at and k >> at.index(i) & 1 else c for i, c in enumerate(base)) for k in range(n)]
+
+
+def test_all_pairs_of_many_texts_of_one_look(spark, monkeypatch):
+    rows = [(i, None, t) for i, t in enumerate(variants(100))]
+    want = {(a, b) for a in range(100) for b in range(a + 1, 100)}
+    for block in (visual.BLOCK, 16):
+        monkeypatch.setattr(visual, "BLOCK", block)
+        got = [(r.doc_a, r.doc_b) for r in visual.equal_looking(docs(spark, rows)).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_pairs_of_copied_texts_of_one_look(spark, monkeypatch):
+    text = dict(enumerate(t for t, n in zip(variants(3), (50, 30, 20)) for _ in range(n)))
+    rows = [(i, None, t) for i, t in text.items()]
+    want = {(a, b) for a in text for b in text if a < b and text[a] != text[b]}
+    got = [(r.doc_a, r.doc_b) for r in visual.equal_looking(docs(spark, rows)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(visual, "BLOCK", 16)
+    few = [(r.doc_a, r.doc_b) for r in visual.equal_looking(docs(spark, rows), within=25).collect()]
+    full, first = set(range(80, 100)), {0, 50, 80}
+    allowed = full | first
+    assert len(few) == len(set(few)) and set(few) == {(a, b) for a, b in want if {a, b} <= allowed or a in first or b in first}
+
+
 def test_composed_and_decomposed_accents(spark):
     rows = [(1, None, "Comité académico de Vennegua y más"), (2, None, "Comité académico de Vennegua y más")]
     import unicodedata
