@@ -10,7 +10,8 @@ ROWS minima each, which must agree entirely: the trie proper lies below each key
 Scale: the shuffle carries packed arrays of 28 bytes a record and band, no texts. Equal texts have one content id and
 enter each bucket once. A bucket of more than HOT records is cut along the trie into blocks, whose pairs are
 spread over the cluster; pairs are produced in bounded chunks.
-Texts are fetched for candidates only. Chance to miss a pair of exactly 0.7: about 0.8 %; of 0.8: under 0.1 %.
+Texts are fetched for candidates only. Chance to miss a pair of exactly 0.7: about 0.8 %; of 0.8: under 0.1 %. These
+hold from about 40 grams; texts of fewer are missed more often (README).
 
 Defined results: texts are lower-cased, white space is collapsed and trimmed; null texts and texts of fewer than five
 code points have no 5-grams and so no pairs; rows of equal id are one record (of several texts the first in order counts).
