@@ -133,6 +133,16 @@ group for budget reasons in the middle of the rainy season today.
 LEXICON = "The ministry questioned the framework and the model, which the laboratory of the region published. " * 2
 
 
+def test_scanned_pages_with_a_wide_header_or_capital_nouns():
+    header = " ".join("Autonomous ministry and inventory in the northern river valley")
+    body = "On the other hand, the command suspended the rural\ncensus of Tamves during the\nlast quarter of the year, and the\nministry listed the radars and the\nsensors of the border centre"
+    assert scanned.is_scanned(f"{body}\n{header}\n100\n{body}", "image")
+    german = "Der Beirat prüfte den Algorithmus der Gemeinden in Valfotín und den\nKorridor der Gemeinden in Narvosco unter ziviler Aufsicht. Der\nVerein verschob den Entwurf der Akademie von Hultando und den Plan der\nStreitkräfte in Falsesco nach langem Streit über die Bewertung der\nUmlaufbahn durch den Verband der Akademie"
+    assert scanned.is_scanned(f"{german}\n- 66 -\n\x0c\n{german}", "pdf")
+    assert not scanned.is_scanned(german, "pdf") and not scanned.is_scanned(f"{german}\n- 66 -", "txt")
+    assert not scanned.is_scanned("A notice of the site\nAnother line here\n" + "The council measured the plan of the river. " * 5 + "\nshare this story", "txt")
+
+
 def test_scanned_findings(spark):
     clean = [(i, LEXICON, "txt") for i in range(10, 14)]
     df = spark.createDataFrame([(1, PAGE, "pdf"), (2, None, "pdf"), (3, "", None), (4, "Short.", "pdf"), *clean], "doc_id bigint, text string, formato string")
