@@ -1,10 +1,10 @@
 """Markup residue: structured reading of HTML, Markdown, wiki and LaTeX texts.
 
 The markup language is told from the text (labels are often wrong); a reader for it cuts the text into blocks: heading,
-list item, code block, formula, and prose. Structural blocks are kept as such. Prose blocks are classified in two
-passes by stop-word density (where a list fits the script and the language), length and link density: the first pass
-decides clear blocks, the second lets short or ambiguous blocks inherit the label of their nearest decided neighbours;
-blocks labelled boilerplate are left out.
+list item, code block, formula, and prose. All blocks are classified in two passes by stop-word density (where a list
+fits the script and the language), length and link density: the first pass decides clear blocks, the second lets short
+or ambiguous blocks inherit the label of their nearest decided neighbours. Elements and clean texts are made of the
+blocks labelled content alone: a menu's items are no elements, and the heading above a menu goes with it.
 
 Defined results: texts without markup have no elements and come out unchanged; null stays null; an unclosed element
 ends where the next block begins.
@@ -435,7 +435,9 @@ STOP_WORDS = {
 #: Densities of stop words from which a long block, or a short one, is text: es, en, pt, fr, de together, ru, ar, hi.
 LOW_STOPS = {"latin": 0.1, "cyrillic": 0.05, "arabic": 0.09, "devanagari": 0.2}
 HIGH_STOPS = {"latin": 0.22, "cyrillic": 0.12, "arabic": 0.18, "devanagari": 0.3}
-GOOD_LENGTH, SHORT_LENGTH, HIGH_LINKS = 140, 70, 0.4
+GOOD_LENGTH, SHORT_LENGTH = 140, 70
+#: Shares of link text above which prose, or a whole list, is a menu.
+HIGH_LINKS, LIST_LINKS = 0.4, 0.8
 
 _marks = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c)[0] == "M")
 #: Words; vowel signs and other combining marks belong to them.
@@ -461,49 +463,73 @@ def script_of(text: str) -> str:
     return "other" if letters > most else best
 
 
+def _units(blocks: list[Block]) -> list[list[int]]:
+    """What is classified as one block: the items of a list together, everything else by itself."""
+    out: list[list[int]] = []
+    for i, b in enumerate(blocks):
+        if b.kind == "list_item" and out and blocks[i - 1].kind == "list_item":
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def decide(blocks: list[Block]) -> list[bool]:
-    """Whether to keep each block: clear ones first, then short or ambiguous ones as their nearest decided neighbours.
+    """Whether each block is content: clear ones first, then short or ambiguous ones as their nearest decided neighbours.
 
-    Stop words speak against a long block only where a list fits: the script has one, and all prose of that script in the
-    text together reaches its density. Long blocks of other scripts and languages are kept, unless they consist of links.
+    Link density decides first, of a list over all its items. Code and formulas are content, headings always ambiguous.
+    Stop words speak for a long block and, in prose, against it, but only where a list of them fits: the script has one, and
+    all blocks of that script in the text together reach its density. Long blocks of other scripts and languages are
+    content unless they consist of links.
     """
-    measured: dict[int, tuple[str, int, int]] = {}
+    units = _units(blocks)
+    measured: list[tuple[str, int, int, int, int] | None] = []
     whole: dict[str, list[int]] = {}
-    for i, b in enumerate(blocks):
-        if b.kind == "prose":
-            script = script_of(b.content)
-            words = _words.findall(b.content.lower())
-            stops = sum(w in STOP_WORDS[script] for w in words) if script in STOP_WORDS else 0
-            measured[i] = script, len(words), stops
-            total = whole.setdefault(script, [0, 0])
-            total[0] += len(words)
-            total[1] += stops
+    for unit in units:
+        if blocks[unit[0]].kind in ("code_block", "formula"):
+            measured.append(None)
+            continue
+        content = " ".join(blocks[i].content for i in unit)
+        script = script_of(content)
+        words = _words.findall(content.lower())
+        stops = sum(w in STOP_WORDS[script] for w in words) if script in STOP_WORDS else 0
+        measured.append((script, len(words), stops, len(content), sum(blocks[i].links for i in unit)))
+        total = whole.setdefault(script, [0, 0])
+        total[0] += len(words)
+        total[1] += stops
     fits = {script for script, (words, stops) in whole.items() if script in STOP_WORDS and stops >= LOW_STOPS[script] * max(1, words)}
     labels: list[bool | None] = []
-    for i, b in enumerate(blocks):
-        if i not in measured:
+    for unit, m in zip(units, measured):
+        if m is None:
             labels.append(True)
             continue
-        script, words, stops = measured[i]
-        size = len(b.content)
-        if b.links > HIGH_LINKS * size:
+        script, words, stops, size, links = m
+        kind = blocks[unit[0]].kind
+        if links > (LIST_LINKS if kind == "list_item" else HIGH_LINKS) * size:
             labels.append(False)
+        elif kind == "heading":
+            labels.append(None)
         elif script == "ideographic" or words * 12 <= size and script in STOP_WORDS:
             labels.append(True if size >= SHORT_LENGTH // 3 else None)
         elif script not in fits:
             labels.append(True if size >= GOOD_LENGTH else None)
         elif size >= GOOD_LENGTH:
-            labels.append(stops >= LOW_STOPS[script] * words)
+            labels.append(True if stops >= LOW_STOPS[script] * words else None if kind == "list_item" else False)
         else:
             labels.append(True if size >= SHORT_LENGTH and stops >= HIGH_STOPS[script] * words else None)
-    out = []
-    for i, x in enumerate(labels):
+    out = [True] * len(blocks)
+    decided = [n for n, x in enumerate(labels) if x is not None]
+    at = 0
+    for n, x in enumerate(labels):
+        while at < len(decided) and decided[at] < n:
+            at += 1
         if x is None:
-            before = next((labels[j] for j in range(i - 1, -1, -1) if labels[j] is not None), None)
-            after = next((labels[j] for j in range(i + 1, len(labels)) if labels[j] is not None), None)
-            x = before if before == after else (before or after) and len(blocks[i].content) > 20
-            x = True if before is None and after is None else bool(x)
-        out.append(x)
+            near = ([decided[at - 1]] if at else []) + ([decided[at]] if at < len(decided) else [])
+            least = min((abs(d - n) for d in near), default=0)
+            # of neighbours equally near content wins; without any the block is content
+            x = any(labels[d] for d in near if abs(d - n) == least) if near else True
+        for i in units[n]:
+            out[i] = x
     return out
 
 
@@ -521,12 +547,14 @@ def render(blocks: list[Block]) -> str:
 
 
 def elements_of(text: str) -> list[tuple[str, str]]:
+    """The markup language, and the structural elements among the blocks that the two passes label content."""
     kind = language(text)
     if kind is None:
         return []
     found = {("residue", kind): None}
-    for b in READERS[kind](text):
-        if b.kind != "prose":
+    blocks = READERS[kind](text)
+    for b, content in zip(blocks, decide(blocks)):
+        if content and b.kind != "prose":
             found[b.kind, squeeze(b.content)] = None
     return list(found)
 
@@ -563,3 +591,23 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), pa.array(texts, pa.string())], ["key", "markup", "text"])
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, markup string, text string").withColumnRenamed("key", key)
+
+
+def prose(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, block int, script, size int, kept boolean): the label of each prose block of each text with markup."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, out = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                if mark := language(t):
+                    blocks = READERS[mark](t.replace("\r\n", "\n"))
+                    own = [(n, script_of(b.content), len(b.content), keep) for n, (b, keep) in enumerate(zip(blocks, decide(blocks))) if b.kind == "prose"]
+                    rows += [i] * len(own)
+                    out += own
+            n, script, size, kept = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), pa.array(script, pa.string()), pa.array(size, pa.int32()), pa.array(kept, pa.bool_())], ["key", "block", "script", "size", "kept"])
+
+    part = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(HINT))
+    return part.mapInArrow(run, f"key {kind}, block int, script string, size int, kept boolean").withColumnRenamed("key", key)

@@ -80,6 +80,10 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.clean(_documents(spark, folder))
 
 
+def p5_prose(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.prose(_documents(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.findings(_documents(spark, folder))
 

@@ -91,6 +91,28 @@ def test_short_blocks_inherit_their_neighbours_label():
     assert "A short line" in out and "Share" not in out and "Contact" not in out
 
 
+def test_elements_pass_through_the_two_passes(monkeypatch):
+    good = "The laboratory of the river confirmed the model in the region and the council of the town published the plan for the year to come with help from several universities."
+    menu = "## Elsewhere\n\n- [Home page](u)\n- [News of the day](u)\n- [Contact](u)"
+    listed = "## Results\n\n- the [plan](u) of the river\n- a second item\n- [third](u)"
+    text = f"{good}\n\n{listed}\n\n{good}\n\n{good}\n\n[Share](u) [Print](u)\n\n{menu}\n"
+    found = markup.elements_of(text)
+    assert sorted(found) == sorted([("residue", "markdown"), ("heading", "Results"), ("list_item", "the plan of the river"), ("list_item", "a second item"), ("list_item", "third")])
+    assert "Elsewhere" not in markup.render(markup.read_markdown(text))
+    monkeypatch.setattr(markup, "LIST_LINKS", 2.0)
+    monkeypatch.setattr(markup, "HIGH_LINKS", 2.0)  # without link density the menu counts
+    assert ("list_item", "Contact") in markup.elements_of(text)
+
+
+def test_prose_of_every_script_is_kept(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    kept = markup.prose(docs).groupBy("script").agg(F.avg(F.col("kept").cast("int")).alias("share"), F.count("*").alias("n")).collect()
+    assert {r.script for r in kept} >= {"latin", "cyrillic", "ideographic", "devanagari"}
+    assert all(r.share >= 0.99 for r in kept)
+
+
 LONG = {
     "hi": "तब से राकारी के सीमावर्ती न्यायालय ने लंबे विवाद के बाद ग्रामीण प्रणाली की आलोचना की। निवासियों के अनुसार रीलीकाली के तकनीकी केंद्र ने वर्षा ऋतु में कक्षीय संधि की घोषणा की और नई योजना को गाँव के लोगों के लिए प्रकाशित किया।",
     "th": "กระทรวงอิสระในเฟโกตูโกได้ตรวจสอบแผนที่แม่น้ำของเฟฮาเฟรวม 2540 กรณี อย่างไรก็ตามคณะกรรมการชายแดนของมาคาสาได้เลื่อนระเบียงชนบทหลังข้อพิพาทยาวนาน ดร.เนรีโกกล่าวว่าต้องเลื่อนดาวเทียมวงโคจรภายใต้การกำกับของพลเรือน",
