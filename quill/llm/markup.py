@@ -438,6 +438,8 @@ HIGH_STOPS = {"latin": 0.22, "cyrillic": 0.12, "arabic": 0.18, "devanagari": 0.3
 GOOD_LENGTH, SHORT_LENGTH = 140, 70
 #: Shares of link text above which prose, or a whole list, is a menu.
 HIGH_LINKS, LIST_LINKS = 0.4, 0.8
+#: Items of nothing but links from which a list is a menu; a shorter one is ambiguous.
+MENU_ITEMS = 3
 
 _marks = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c)[0] == "M")
 #: Words; vowel signs and other combining marks belong to them.
@@ -506,7 +508,7 @@ def decide(blocks: list[Block]) -> list[bool]:
         script, words, stops, size, links = m
         kind = blocks[unit[0]].kind
         if links > (LIST_LINKS if kind == "list_item" else HIGH_LINKS) * size:
-            labels.append(False)
+            labels.append(None if kind == "list_item" and len(unit) < MENU_ITEMS else False)
         elif kind == "heading":
             labels.append(None)
         elif script == "ideographic" or words * 12 <= size and script in STOP_WORDS:
