@@ -179,9 +179,40 @@ def test_scanned_findings(spark):
 
 def test_editor_learns_confusions():
     words = ["laboratory", "community", "independent", "framework", "published", "territorial", "mediators", "catalogue", "statistical"] * 30
+    editor = scanned.Editor().train([(w, 5) for w in words])
+    for word, noisy in [("community", "comrnunity"), ("independent", "inclependent"), ("framework", "framevvork"), ("published", "piiblished"), ("territorial", "territ0rial"), ("community", "cornrnunity")]:
+        scores = {fix: s + editor.of_fix(5) for fix, _, s in editor.candidates(noisy)}
+        assert scores[word] > 0, noisy
+    assert editor.of_fix(0) < 0 < editor.of_fix(5)
+    assert editor.by_signs("territ0rial")[1] > 0 and editor.by_signs("territorial")[1] == 0
+
+
+def test_editor_decides_line_ends():
+    words = [("laboratory", 5), ("community", 9), ("river", 3), ("framework", 12), ("published", 2), ("corridor", 4), ("mediators", 7)] * 40
     editor = scanned.Editor().train(words)
-    hits = sum(w in [p for p, _ in editor.proposals(noisy)] for w, noisy in [("community", "comrnunity"), ("independent", "inclependent"), ("framework", "framevvork"), ("published", "piiblished"), ("territorial", "territ0rial")])
-    assert hits == 5
+    said = lambda *x: editor.line_end(*x)
+    assert said("cor", "", "-", "ridor", 4, 0, 0, 0) == scanned.JOIN
+    assert said("porta", "", "-", "voz", 0, 4, 5, 5) == scanned.JOIN_HYPHEN
+    assert said("river", " ", "-", "published", 0, 0, 3, 2) == scanned.KEEP == said("river", "", "–", "published", 0, 0, 3, 2)
+    assert scanned.Editor().line_end("cor", "", "-", "ridor", 4, 0, 0, 0) == scanned.KEEP
+
+
+def test_every_finding_of_letters_and_line_ends_is_the_editors(spark, monkeypatch):
+    """Without training the editor keeps everything, and nothing but furniture is found."""
+    clean = [(i, LEXICON, "txt") for i in range(10, 14)]
+    df = spark.createDataFrame([(1, PAGE, "pdf"), *clean], "doc_id bigint, text string, formato string")
+    monkeypatch.setattr(scanned.Editor, "train", lambda self, words, **_: self)
+    assert {r.kind for r in scanned.findings(df).collect()} == {"header", "page_no"}
+    fixed = {r.doc_id: r.text for r in scanned.repair(df).collect()}
+    assert "questi0ned" in fixed[1] and "cor- ridor" in fixed[1]
+
+
+def test_hyphens_that_belong_to_the_word_stay(spark):
+    page = PAGE.replace("expanded the cor-\nridor during", "asked the porta-\nvoz during")
+    clean = [(i, f"{LEXICON} The porta-voz spoke.", "txt") for i in range(10, 14)]
+    df = spark.createDataFrame([(1, page, "pdf"), *clean], "doc_id bigint, text string, formato string")
+    assert "the porta-voz during" in {r.doc_id: r.text for r in scanned.repair(df).collect()}[1]
+    assert (1, 2, "hyphen") in [tuple(r) for r in scanned.findings(df).collect()]
 
 
 # p7
