@@ -103,6 +103,24 @@ def test_checked_join_beyond_the_bound(spark):
         assert few == many
 
 
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from quill.operators.joins import within_bounds
+
+    df = spark.createDataFrame([(1, ["x" * 1000]), (2, None)], "k int, v array<string>")
+    assert within_bounds(df) and not within_bounds(df, size=900) and not within_bounds(df, rows=1)
+
+
+def test_join_of_hot_keys(spark):
+    from quill.operators.joins import join_hot
+
+    large = spark.createDataFrame([(0 if i % 2 else i, i, {"a": i}) for i in range(400)], "k int, v int, m map<string,int>")
+    small = spark.createDataFrame([(i, f"w{i}") for i in (0, 0, 2, 4, 7)], "k int, w string")
+    plain = sorted(map(str, large.join(small, "k").select("k", "v", "w").collect()))
+    for rows in (7, 1000):
+        assert sorted(map(str, join_hot(large, small, ["k"], rows).select("k", "v", "w").collect())) == plain
+    assert len(join_checked(large, small.distinct(), ["k"], rows=1).collect()) == 202
+
+
 RANK = "query_id string, source int, rank int, item string, score double"
 
 
