@@ -5,13 +5,17 @@ and from these a sketch of 128 bits, one of each minimum: two records of similar
 the bits. Records are joined with themselves in a binary trie whose node pairs are traversed together, adding up differing
 bits and dropping a pair of nodes once it exceeds the error budget. A budget of 31 bits prunes nothing in the first 31
 levels, by which time every pair of records would have been visited; therefore the trie is entered through BANDS keys of
-ROWS minima each, which must agree entirely: the trie proper lies below each key. Pairs that come out are compared exactly.
-
-Scale: the shuffle carries packed arrays of 28 bytes a record and band, no texts. Equal texts have one content id and
-enter each bucket once. A bucket of more than HOT records is cut along the trie into blocks, whose pairs are
-spread over the cluster; pairs are produced in bounded chunks.
-Texts are fetched for candidates only. Chance to miss a pair of exactly 0.7: about 0.8 %; of 0.8: under 0.1 %. These
-hold from about 40 grams; texts of fewer are missed more often (README).
+ROWS minima each, which must agree entirely: the trie proper lies below each key. Texts of few 5-grams, whose bins are
+mostly copies, enter by all keys of an exact prefix filter and with a larger budget. Pairs that come out are compared
+exactly.
+
+Scale: the shuffle carries packed arrays of 40 bytes a record and band, no texts; keys have 64 bits and content ids 128, so
+that unrelated records don't meet at any size. The number of parts follows from the number of records, so a task's share
+stays the same however many there are. Equal texts have one content id and enter each bucket once. Keys that a sample of
+the records shows to be very frequent are cut into groups of records before the shuffle, whose pairs are buckets of
+their own; a bucket of more than HOT records is cut along the trie into blocks, whose pairs are spread over the
+cluster; pairs are produced in bounded chunks. Texts are fetched for candidates only, those with very many partners in
+slices. Chance to miss a pair of exactly 0.7: about 0.8 %; of 0.8: under 0.1 %.
 
 Defined results: texts are lower-cased, white space is collapsed and trimmed; null texts and texts of fewer than five
 code points have no 5-grams and so no pairs; rows of equal id are one record (of several texts the first in order counts).
@@ -20,13 +24,12 @@ Groups of more than WITHIN equal texts are listed as pairs with their first reco
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quill.operators.joins import join_checked
+from quill.operators.joins import join_checked, join_hot
 from quill.session import cut, written
 
 GRAM = 5
@@ -40,16 +43,20 @@ LEAF, CHUNK = 1024, 1 << 19
 FLUSH = 40_000
 #: Records of a bucket from which it is cut into blocks, whose pairs become tasks of their own.
 HOT = 4096
-RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), ("a", "<u8"), ("b", "<u8")])
+#: Bytes of records that a task is to hold, and the share of the records by which very frequent keys are found.
+PART_BYTES, SHARE = 64 << 20, 64
+#: 5-grams up to which a text enters by the prefix filter, and the error budget there.
+FEW, FEW_BUDGET = 57, 56
+#: 5-grams of texts held for comparison before a task starts afresh.
+HELD = 1_000_000
+RECORD = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("a", "<u8"), ("b", "<u8")])
 _EMPTY = np.uint32(0xFFFFFFFF)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(text: str) -> str:
-    return " ".join(text.lower().split())
-
-
-def content_id(tab: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tab}\x1f{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def normal(text: Column) -> Column:
+    """Lower case, white space collapsed to single spaces and trimmed."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+", " "))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,6 +120,14 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return keys
 
 
+def prefix_keys(text: str, threshold: float = THRESHOLD) -> np.ndarray:
+    """Keys of a text of few 5-grams: texts of similarity ``threshold`` share one at least. The lowest bit tells them
+    from band keys."""
+    grams = sorted({xxhash.xxh64_intdigest(text[i : i + GRAM]) for i in range(len(text) - GRAM + 1)})
+    n = len(grams) - -(-int(threshold * 1000) * len(grams) // 1000) + 1
+    return np.array(grams[:n], np.uint64) | np.uint64(1)
+
+
 def buckets(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of the records of each key with more than one record."""
     starts = np.flatnonzero(np.concatenate(([True], records["key"][1:] != records["key"][:-1])))
@@ -122,13 +137,13 @@ def buckets(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trie_join(records: np.ndarray, roots: tuple[np.ndarray, ...], budget: int = BUDGET):
-    """Yields (id, id) arrays of records below each pair of roots that differ in at most ``budget`` bits of the sketch.
+    """Yields (i, j) arrays of the places of records below each pair of roots that differ in at most ``budget`` bits of the sketch.
 
     records, sorted by (a, b) below each root, are the leaves of the trie in order; a node is a range of them. roots are the
     ranges (from, to, from, to) of nodes at the top of the sketch; a node paired with itself has its pairs once. Levels are
     taken eight bits at a time, from the top bits down.
     """
-    a, b, ids = records["a"], records["b"], records["id"]
+    a, b, hi, lo = records["a"], records["b"], records["hi"], records["lo"]
     stack = [(0, *roots, np.zeros(len(roots[0]), np.int64))]
     while stack:
         level, lo1, hi1, lo2, hi2, spent = stack.pop()
@@ -154,9 +169,11 @@ def trie_join(records: np.ndarray, roots: tuple[np.ndarray, ...], budget: int =
                 keep = i < j
                 i, j = i[keep], j[keep]
                 differ = np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j])
-                near = (differ <= budget) & (ids[i] != ids[j])
-                if near.any():
-                    yield ids[i[near]], ids[j[near]]
+                near = differ <= budget
+                i, j = i[near], j[near]
+                other = (lo[i] != lo[j]) | (hi[i] != hi[j])
+                if other.any():
+                    yield i[other], j[other]
         large = np.flatnonzero(~small)
         for x in large.tolist():  # children of both nodes, paired; few nodes are large
             word, shift = (a, 56 - 8 * level) if level < 8 else (b, 120 - 8 * level)
@@ -183,66 +200,128 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _records(df: DataFrame) -> DataFrame:
-    """(tab, id, text) of texts with at least one gram."""
-    return df.select("tab", "id", "text").filter((F.length("text") >= GRAM) & F.col("id").isNotNull())
+def _content(df: DataFrame) -> DataFrame:
+    """(tab, id, c binary, text): content id and normal text of records with at least one gram."""
+    rows = df.select("tab", "id", "text").filter((F.length("text") >= GRAM) & F.col("id").isNotNull()).select("tab", "id", normal(F.col("text")).alias("text"))
+    return rows.filter(F.length("text") >= GRAM).select("tab", "id", F.unhex(F.md5(F.concat(F.coalesce("tab", F.lit("")), F.lit("\x1f"), "text"))).alias("c"), "text")
+
+
+def _rows_of(ids: list[bytes], texts: list[str], salts: list[str | None]) -> np.ndarray:
+    """Records of the texts for each of their keys; each table (salt) joins with itself."""
+    m = minima(texts)
+    a, b = sketches(m)
+    number = {t: np.uint64(xxhash.xxh64_intdigest(t or "") & ~1 & 0xFFFFFFFFFFFFFFFF) for t in set(salts)}
+    salt = np.array([number[t] for t in salts], np.uint64)
+    keys = (band_keys(m) & ~np.uint64(1)) ^ salt[:, None]
+    few = [(i, prefix_keys(t) ^ salt[i]) for i, t in enumerate(texts) if len(t) - GRAM + 1 <= FEW]
+    at = np.concatenate([np.repeat(np.arange(len(texts)), BANDS), *(np.full(len(k), i) for i, k in few)])
+    both = np.frombuffer(b"".join(ids), "<u8").reshape(-1, 2)
+    rows = np.empty(len(at), RECORD)
+    rows["key"] = np.concatenate([keys.ravel(), *(k for _, k in few)])
+    rows["hi"], rows["lo"], rows["a"], rows["b"] = both[at, 0], both[at, 1], a[at], b[at]
+    return rows
+
+
+def _distinct(batches, seen: set[bytes]):
+    """(ids, texts, tables) of the contents of the batches not seen before, a few thousand at a time."""
+    for batch in batches:
+        tabs, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+        for begin in range(0, len(texts), 4000):
+            fresh = []
+            for i in range(begin, min(begin + 4000, len(texts))):
+                if ids[i] not in seen:
+                    seen.add(ids[i])
+                    fresh.append(i)
+            if fresh:
+                yield [ids[i] for i in fresh], [texts[i] for i in fresh], [tabs[i] for i in fresh]
+
+
+def _frequent(content: DataFrame, share: int = SHARE) -> dict[int, int]:
+    """Keys of very many records and the groups each is cut into, judged by one in ``share`` records. Only the cutting
+    depends on it. A key in it has a PART_BYTES of records, so there are fewer of them than tasks."""
+    most = PART_BYTES // RECORD.itemsize
+
+    def keys(batches):
+        for ids, texts, tabs in _distinct(batches, set()):
+            k, n = np.unique(_rows_of(ids, texts, tabs)["key"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    sample = content.filter(F.pmod(F.xxhash64("c"), F.lit(share)) == 0).select("tab", "c", "text")
+    counts = sample.mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg((F.sum("n") * share).alias("n")).filter(F.col("n") > most)
+    return {r.key & 0xFFFFFFFFFFFFFFFF: -(-r.n // most) for r in counts.collect()}
+
+
+def _cut_frequent(rows: np.ndarray, groups: dict[int, int]) -> np.ndarray:
+    """Records of a frequent key go to the pairs of their group with every group, each pair under a key of its own."""
+    hot = np.isin(rows["key"], np.fromiter(groups, np.uint64, len(groups)))
+    if not hot.any():
+        return rows
+    out = [rows[~hot]]
+    for r in rows[hot]:
+        n = groups[int(r["key"])]
+        own = int(r["lo"]) % n
+        copies = np.repeat(r[None], n)
+        pair = np.array([(min(own, k) * n + max(own, k) + 1) for k in range(n)], np.uint64)
+        copies["key"] = (r["key"] ^ (pair * _ODD << np.uint64(1))) & ~np.uint64(1) | (r["key"] & np.uint64(1))
+        out.append(copies)
+    return np.concatenate(out)
+
+
+def _binary(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    data = np.stack((hi, lo), 1)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _pair(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
+    """Content ids of the pairs, the lesser (by hi and lo) first."""
+    turned = (rows["hi"][i] > rows["hi"][j]) | (rows["hi"][i] == rows["hi"][j]) & (rows["lo"][i] > rows["lo"][j])
+    x, y = np.where(turned, j, i), np.where(turned, i, j)
+    return [_binary(rows["hi"][x], rows["lo"][x]), _binary(rows["hi"][y], rows["lo"][y])]
+
+
+def parts_of(spark, records: int) -> int:
+    """Parts into which the records are cut: as many as hold PART_BYTES each, but at least as many as the shuffle has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-records * (BANDS + 1) * RECORD.itemsize // PART_BYTES))
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """(a bigint, b bigint), distinct: content ids of different texts that the trie join finds."""
-    spark = df.sparkSession
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    """(a binary, b binary), distinct: content ids of different texts that the trie join finds."""
+    content = _content(df)
+    parts = parts_of(df.sparkSession, df.count())
+    groups = _frequent(content)
 
     def pack(batches):
         held: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def flush():
             rows = np.concatenate(held)
-            target = (rows["key"].astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
-            rows = rows[np.argsort(target, kind="stable")]
-            cuts = np.searchsorted(np.sort(target), np.arange(parts + 1))
-            own = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([rows[cuts[p] : cuts[p + 1]].tobytes() for p in own], pa.binary())], ["part", "rows"])
+            target = ((rows["key"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(target, kind="stable")
+            rows, target = rows[order], target[order]
+            own = np.unique(target)
+            cuts = [*np.searchsorted(target, own).tolist(), len(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([rows[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["part", "rows"])
             held.clear()
 
         size = 0
-        for batch in batches:
-            tabs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for begin in range(0, len(texts), 4000):
-                ids, fresh, own = [], [], []
-                for tab, t in zip(tabs[begin : begin + 4000], texts[begin : begin + 4000]):
-                    t = normal(t)
-                    if len(t) >= GRAM and (c := content_id(tab, t)) not in seen:
-                        seen.add(c)
-                        ids.append(c)
-                        fresh.append(t)
-                        own.append(tab)
-                if not fresh:
-                    continue
-                m = minima(fresh)
-                a, b = sketches(m)
-                salt = {tab: np.uint64(content_id(tab, "") & 0xFFFFFFFFFFFFFFFF) for tab in set(own)}  # each table joins with itself
-                keys = band_keys(m) ^ np.array([salt[tab] for tab in own], np.uint64)[:, None]
-                rows = np.empty(len(fresh) * BANDS, RECORD)
-                rows["key"] = (keys >> np.uint64(32)).astype(np.uint32).ravel()
-                rows["id"] = np.repeat(np.array(ids, np.int64), BANDS)
-                rows["a"], rows["b"] = np.repeat(a, BANDS), np.repeat(b, BANDS)
-                held.append(rows)
-                size += len(fresh)
-            if size >= FLUSH:
+        for ids, texts, tabs in _distinct(batches, seen):
+            rows = _rows_of(ids, texts, tabs)
+            held.append(_cut_frequent(rows, groups) if groups else rows)
+            size += len(held[-1])
+            if size >= FLUSH * BANDS:
                 yield from flush()
                 size = 0
                 seen.clear()
         if held:
             yield from flush()
 
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
 
-    def pairs_of(rows, roots):
-        for x, y in trie_join(rows, roots):
-            none = pa.nulls(len(x), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none, none], schema=out)
+    def pairs_of(rows, roots, budget):
+        for i, j in trie_join(rows, roots, budget):
+            none = pa.nulls(len(i), pa.binary())
+            yield pa.RecordBatch.from_arrays([*_pair(rows, i, j), none, none], schema=out)
 
     def join(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
@@ -252,17 +331,20 @@ def candidates(df: DataFrame) -> DataFrame:
         blobs.clear()
         rows = rows[np.lexsort((rows["b"], rows["a"], rows["key"]))]
         if len(rows) > 1:  # copies of a text enter a bucket once
-            same = (rows["key"][1:] == rows["key"][:-1]) & (rows["id"][1:] == rows["id"][:-1])
+            same = (rows["key"][1:] == rows["key"][:-1]) & (rows["lo"][1:] == rows["lo"][:-1]) & (rows["hi"][1:] == rows["hi"][:-1])
             rows = rows[np.concatenate(([True], ~same))]
         starts, ends = buckets(rows)
         hot = ends - starts > HOT
-        yield from pairs_of(rows, (starts[~hot], ends[~hot], starts[~hot], ends[~hot]))
+        few = (rows["key"][starts] & np.uint64(1)).astype(bool)
+        for own, budget in ((~hot & ~few, BUDGET), (~hot & few, FEW_BUDGET)):
+            if own.any():
+                yield from pairs_of(rows, (starts[own], ends[own], starts[own], ends[own]), budget)
         for lo, hi in zip(starts[hot].tolist(), ends[hot].tolist()):
             cuts = np.linspace(lo, hi, -(-(hi - lo) // HOT) + 1).astype(int)
             for i in range(len(cuts) - 1):
                 for j in range(i, len(cuts) - 1):
                     left, right = rows[cuts[i] : cuts[i + 1]].tobytes(), rows[cuts[j] : cuts[j + 1]].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([left]), pa.array([None if i == j else right], pa.binary())], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([left]), pa.array([None if i == j else right], pa.binary())], schema=out)
 
     def blocks(batches):
         for batch in batches:
@@ -271,50 +353,43 @@ def candidates(df: DataFrame) -> DataFrame:
                 y = x if right is None else np.frombuffer(right, RECORD)
                 rows = x if right is None else np.concatenate((x, y))
                 first = 0 if right is None else len(x)
-                for p, q in trie_join(rows, tuple(np.array([v]) for v in (0, len(x), first, len(rows)))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                budget = FEW_BUDGET if int(rows["key"][0]) & 1 else BUDGET
+                for i, j in trie_join(rows, tuple(np.array([v]) for v in (0, len(x), first, len(rows))), budget):
+                    yield pa.RecordBatch.from_arrays(_pair(rows, i, j), ["a", "b"])
 
-    packed = _records(df).mapInArrow(pack, "part int, rows binary")
-    joined = written(packed.repartition(parts, "part").mapInArrow(join, "a bigint, b bigint, left binary, right binary"), "joined")
-    split = joined.filter("left IS NOT NULL").select("left", "right").repartition(parts).mapInArrow(blocks, "a bigint, b bigint")
+    packed = content.select("tab", "c", "text").mapInArrow(pack, "part int, rows binary")
+    joined = written(packed.repartition(parts, "part").mapInArrow(join, "a binary, b binary, left binary, right binary"), "joined")
+    split = joined.filter("left IS NOT NULL").select("left", "right").repartition(parts).mapInArrow(blocks, "a binary, b binary")
     return joined.filter("left IS NULL").select("a", "b").unionByName(split).distinct()
 
 
-def _with_content(df: DataFrame, text: bool) -> DataFrame:
-    """(tab, id, c bigint[, text]): content id of each record."""
-
-    def run(batches):
-        for batch in batches:
-            tabs, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(2).to_pylist()]
-            ids = pa.array([content_id(tab, t) if len(t) >= GRAM else None for tab, t in zip(tabs, texts)], pa.int64())
-            columns = [batch.column(0), batch.column(1), ids] + ([pa.array(texts, pa.string())] if text else [])
-            yield pa.RecordBatch.from_arrays(columns, ["tab", "id", "c"] + ["text"] * text)
-
-    return _records(df).mapInArrow(run, "tab string, id string, c bigint" + ", text string" * text).filter("c IS NOT NULL")
-
-
 def similar_texts(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of content ids of similarity ``threshold`` or more, and members (tab, id, c) of all content."""
     found = written(candidates(df), "candidates")
     needed = cut(found.select(F.col("a").alias("c")).unionByName(found.select(F.col("b").alias("c"))).distinct())
-    texts = written(join_checked(_with_content(df, True), needed, ["c"], "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
+    texts = written(join_checked(_content(df).select("c", "text"), needed, ["c"], "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
 
     def verify(batches):
+        grams: dict[bytes, frozenset] = {}
+        held = 0
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            grams: dict[int, frozenset] = {}
+            s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x not in grams:
-                    grams[x] = frozenset(s[i : i + GRAM] for i in range(len(s) - GRAM + 1))
-                if y not in grams:
-                    grams[y] = frozenset(t[i : i + GRAM] for i in range(len(t) - GRAM + 1))
+            for x, y, s_, t_ in zip(a, b, s, t):
+                for c, text in ((x, s_), (y, t_)):
+                    if c not in grams:
+                        if held > HELD:
+                            grams, held = {k: v for k, v in grams.items() if k in (x, y)}, 0
+                        grams[c] = frozenset([text[i : i + GRAM] for i in range(len(text) - GRAM + 1)])
+                        held += len(grams[c])
                 keep.append(jaccard(grams[x], grams[y]) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = found.join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("t")), "b")
-    pairs = written(both.select("a", "b", "s", "t").mapInArrow(verify, "a bigint, b bigint"), "pairs")
-    members = written(_with_content(df, False).groupBy("tab", "id").agg(F.min("c").alias("c")), "members")
+    one = join_hot(found, texts.select(F.col("c").alias("a"), F.col("text").alias("s")), ["a"])
+    both = join_hot(one, texts.select(F.col("c").alias("b"), F.col("text").alias("t")), ["b"])
+    pairs = written(both.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary"), "pairs")
+    members = written(_content(df).groupBy("tab", "id").agg(F.min("c").alias("c")), "members")
     return pairs, members
 
 
@@ -333,7 +408,7 @@ def similar_records(df: DataFrame, threshold: float = THRESHOLD, within: int = W
     near = near.select("tab", "c", "id", (F.coalesce("n", F.lit(1)) > within).alias("big"), (F.coalesce("first", F.col("id")) == F.col("id")).alias("lead"))
     left = near.select("tab", F.col("c").alias("a"), F.col("id").alias("x"), F.col("big").alias("big_x"), F.col("lead").alias("lead_x"))
     right = near.select(F.col("c").alias("b"), F.col("id").alias("y"), F.col("big").alias("big_y"), F.col("lead").alias("lead_y"))
-    plain = pairs.join(left, "a").join(right, "b").filter("(NOT big_x OR lead_x OR lead_y) AND (NOT big_y OR lead_y OR lead_x)").select("tab", "x", "y")
+    plain = join_hot(join_hot(pairs, left, ["a"]), right, ["b"]).filter("(NOT big_x OR lead_x OR lead_y) AND (NOT big_y OR lead_y OR lead_x)").select("tab", "x", "y")
     both = inside.unionByName(star).unionByName(plain).filter("x <> y")
     return both.select("tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
@@ -341,7 +416,7 @@ def similar_records(df: DataFrame, threshold: float = THRESHOLD, within: int = W
 def _nearest(links: DataFrame) -> DataFrame:
     """links: (u, v). The same with m, the least of u and its neighbours."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    return links.join(least.select("u", F.least("u", "m").alias("m")), "u")
+    return join_hot(links, least.select("u", F.least("u", "m").alias("m")), ["u"])
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -219,7 +219,7 @@ def test_hyphens_that_belong_to_the_word_stay(spark):
 
 
 def grams(t):
-    t = near_duplicates.normal(t)
+    t = " ".join(t.lower().split())
     return {t[i : i + 5] for i in range(len(t) - 4)}
 
 
@@ -290,7 +290,7 @@ def test_trie_join_is_exact():
     rng = np.random.default_rng(4)
     n = 3000
     rows = np.zeros(n, near_duplicates.RECORD)
-    rows["id"], rows["key"] = np.arange(n), rng.integers(0, 3, n)
+    rows["lo"], rows["key"] = np.arange(n), rng.integers(0, 3, n)
     base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
     pick = rng.integers(0, 40, n)
     flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), False)) for _ in range(2 * n)]
@@ -301,7 +301,50 @@ def test_trie_join_is_exact():
     got = {tuple(sorted(p)) for x, y in near_duplicates.trie_join(rows, (lo, hi, lo, hi), 12) for p in zip(x.tolist(), y.tolist())}
     d = np.bitwise_count(rows["a"][:, None] ^ rows["a"][None]).astype(int) + np.bitwise_count(rows["b"][:, None] ^ rows["b"][None])
     i, j = np.nonzero((d <= 12) & (rows["key"][:, None] == rows["key"][None]))
-    assert got == {tuple(sorted(p)) for p in zip(rows["id"][i].tolist(), rows["id"][j].tolist()) if p[0] != p[1]}
+    assert got == {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist()) if p[0] != p[1]}
+
+
+def edited(rng, n, words=8):
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(60)]
+    rows = []
+    for i in range(n):
+        w = rng.choices(vocabulary, k=words)
+        rows += [("chunk_meta", f"a{i}", " ".join(w)), ("chunk_meta", f"b{i}", " ".join([*w[:-1], rng.choice(vocabulary)]))]
+    return rows
+
+
+def brute(rows):
+    own = {i: grams(t) for _, i, t in rows}
+    return {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.7 * len(own[a] | own[b])}
+
+
+def test_short_texts_are_found_exactly(spark):
+    rows = edited(random.Random(3), 250, 5) + edited(random.Random(4), 250, 3)
+    rows = [(t, f"{n}{i}", x) for n, (t, i, x) in enumerate(rows)]
+    want = brute(rows)
+    got = {(r.id_a, r.id_b) for r in near_duplicates.similar_records(spark.createDataFrame(rows, "tab string, id string, text string")).collect()}
+    assert got <= want and len(got) >= 0.998 * len(want) and len(want) > 60
+
+
+def test_frequent_keys_are_cut_into_groups_and_lose_nothing(spark, monkeypatch):
+    """Every record of a table that shares its keys, with parts so small that all keys are frequent."""
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400))
+    rows = [("chunk_meta", f"r{i:03}", base[: 380 - i % 7] + "".join(rng.choices("xyz", k=12))) for i in range(150)]
+    df = spark.createDataFrame(rows, "tab string, id string, text string")
+    monkeypatch.setattr(near_duplicates, "HOT", 16)
+    whole = {(r.id_a, r.id_b) for r in near_duplicates.similar_records(df).collect()}
+    monkeypatch.setattr(near_duplicates, "PART_BYTES", 40 * near_duplicates.RECORD.itemsize)
+    monkeypatch.setattr(near_duplicates, "SHARE", 1)
+    content = near_duplicates._content(df)
+    assert max(near_duplicates._frequent(content, 1).values()) >= 3
+    cut_up = {(r.id_a, r.id_b) for r in near_duplicates.similar_records(df).collect()}
+    assert whole == cut_up == brute(rows)
+
+
+def test_parts_grow_with_the_records(spark):
+    few, many = near_duplicates.parts_of(spark, 10**7), near_duplicates.parts_of(spark, 10**8)
+    assert many >= 9 * few > 9 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_every_query_runs(spark, folder):
