@@ -48,6 +48,21 @@ def test_repeated_lines_by_brute_force(spark):
     assert {(r.doc_id, r.line_no) for r in repeated_lines.repeated_lines(docs(spark, rows)).collect()} == want
 
 
+def test_short_lines_belong_to_a_block_by_its_edges(spark, monkeypatch):
+    rows = [(i, "a", f"Body number {chr(97 + i)} of this text\nSHARE\nAll rights reserved by the Observatory\n\n- x -\nBody ends {chr(110 + i)}\nNotes\nend of {chr(97 + i)}") for i in range(6)]
+    rows += [(9, "a", "SHARE\nis a word of this text here\nNotes"), (10, None, "SHARE\nAll rights reserved by the Observatory")]
+    clean = {r.doc_id: (r.text, r.removed) for r in repeated_lines.without_repeated_lines(docs(spark, rows)).collect()}
+    # SHARE and the rule go with the notice they stand beside; Notes, as frequent but beside changing lines, and SHARE elsewhere stay
+    assert clean[0] == ("Body number a of this text\n\nBody ends n\nNotes\nend of a", 3)
+    assert clean[9] == (rows[6][2], 0) and clean[10] == (rows[7][2], 0)
+    assert {(r.doc_id, r.line_no) for r in repeated_lines.repeated_lines(docs(spark, rows)).collect()} == {(i, 2) for i in range(6)}
+    # without edges the notice is a block by itself
+    whole = repeated_lines.blocks
+    monkeypatch.setattr(repeated_lines, "blocks", lambda lines, nodes, share, least: whole(lines.limit(0), nodes, share, least))
+    clean = {r.doc_id: (r.text, r.removed) for r in repeated_lines.without_repeated_lines(docs(spark, rows)).collect()}
+    assert clean[0] == (rows[0][2].replace("All rights reserved by the Observatory\n", ""), 1)
+
+
 def test_repeated_lines_of_an_empty_table(spark):
     assert repeated_lines.repeated_lines(docs(spark, [])).count() == 0
 
