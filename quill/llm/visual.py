@@ -3,13 +3,19 @@
 Arrow partitions are handed to an embedded DuckDB, whose SQL (translate, regexp_replace, nfc_normalize) maps
 compatibility forms, kinds of space, invisible characters and look-alike letters. Every look-alike goes to the Latin
 letter of the same shape, in any word of any language: only so are two texts that look equal always equal after it,
-and letters without a Latin twin keep texts of other scripts apart. Line ends are kept, CR before LF is dropped.
+and letters without a Latin twin keep texts of other scripts apart. Texts are composed (NFC) before and after the letters
+are mapped, and composed letters with a look-alike base are mapped by rule, so that canonically equal texts have one form.
+Line ends are kept; CR LF and a lone CR are line ends like LF. Joiners stay after letters whose shape they change (Arabic,
+Indic and South-East Asian scripts) and between pictographs.
 
 Defined results: null stays null, an empty text stays empty; texts with equal code points are never a pair.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,15 +29,22 @@ LOOKALIKES = {
     "ԛ": "q", "ԝ": "w", "ӏ": "l", "ё": "ë", "ї": "ï",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ό": "ó", "Ό": "Ó",
+    "Օ": "O", "Տ": "S", "Լ": "L", "Ս": "U", "օ": "o", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "ս": "u",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S",
+    "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
-#: Ligatures and what they stand for.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: Ligatures, digraphs and Roman numerals of one code point, and the letters that they show.
+LIGATURES = {chr(cp): unicodedata.normalize("NFKC", chr(cp)) for first, last in ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0xFB00, 0xFB06)) for cp in range(first, last + 1)}
 #: Kinds of space.
 SPACES = "\t                 　"
 #: Characters that show nothing, as a class of regular expressions: controls but LF and tab, format characters, fillers.
 INVISIBLE = r"[\x00-\x08\x0b-\x1f\x7f-\x9f\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{fff9}-\x{fffb}\x{e0000}-\x{e0fff}]"
-#: Full-width ASCII lies at a fixed distance from ASCII; half-width forms that have a plain twin are left to it.
-WIDE = {chr(cp + 0xFEE0): chr(cp) for cp in range(0x21, 0x7F)}
+#: Full-width, half-width and styled (bold, script, double-struck) forms of one character.
+WIDE = {c: plain for c in map(chr, range(0x80, 0x1F000)) if unicodedata.decomposition(c).startswith(("<wide>", "<narrow>", "<font>")) and len(plain := unicodedata.normalize("NFKC", c)) == 1 and plain != " "}
+#: Letters after which a joiner changes the shape, and pictographs.
+JOINED = r"[\x{600}-\x{8ff}\x{900}-\x{dff}\x{f00}-\x{fff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{1800}-\x{18af}\x{fe0f}\x{1f000}-\x{1faff}]"
+#: What joiners that stay are in between (characters that no text holds).
+KEPT = {"\u200c": "\ufdd0", "\u200d": "\ufdd1"}
 #: Look-alikes as a translation table, for operators that compare words.
 FOLD = str.maketrans(LOOKALIKES)
 VISIBLE = 20
@@ -45,14 +58,35 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def form_sql(column: str) -> str:
-    """SQL expression of the consistent form."""
-    single = WIDE | LOOKALIKES | {c: " " for c in SPACES}
-    out = f"regexp_replace({column}, {quoted(INVISIBLE)}, '', 'g')"
-    out = f"translate({out}, {quoted(''.join(single))}, {quoted(''.join(single.values()))})"
-    for a, b in LIGATURES.items():
-        out = f"replace({out}, {quoted(a)}, {quoted(b)})"
-    return f"nfc_normalize({out})"
+def composed_lookalikes() -> tuple[dict[str, str], dict[str, str]]:
+    """Composed letters whose base has a Latin twin, and the twin with their marks: one code point, or several."""
+    one, several = {}, {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0] in LOOKALIKES and unicodedata.normalize("NFC", c) == c:
+            plain = unicodedata.normalize("NFC", LOOKALIKES[parts[0]] + parts[1:])
+            (one if len(plain) == 1 else several)[c] = plain
+    return one, several
+
+
+@lru_cache(maxsize=1)
+def form_sql() -> str:
+    """SELECT of k, x and the consistent form of x, from a table t of k and x."""
+    composed, several = composed_lookalikes()
+    single = {c: LOOKALIKES.get(p, composed.get(p, p)) for c, p in WIDE.items()} | LOOKALIKES | composed | {c: " " for c in SPACES}
+    begun = "regexp_replace(x, '\\r\\n?', chr(10), 'g')"
+    for joiner, kept in KEPT.items():
+        begun = f"regexp_replace({begun}, '({JOINED}){joiner}', '\\1{kept}', 'g')"
+    begun = f"nfc_normalize(regexp_replace({begun}, {quoted(INVISIBLE)}, '', 'g'))"
+    mapped = f"translate(y, {quoted(''.join(single))}, {quoted(''.join(single.values()))})"
+    full = mapped
+    for a, b in (LIGATURES | several).items():
+        full = f"replace({full}, {quoted(a)}, {quoted(b)})"
+    # of the texts with rare signs alone these many replacements are made
+    mapped = f"CASE WHEN regexp_matches(y, '[{''.join(LIGATURES | several)}]') THEN {full} ELSE {mapped} END"
+    form = f"translate(nfc_normalize({mapped}), {quoted(''.join(KEPT.values()))}, {quoted(''.join(KEPT))})"
+    rest = f"SELECT k, x, {form} AS form FROM (SELECT k, x, {begun} AS y FROM t WHERE NOT regexp_full_match(x, '[\\x0a\\x20-\\x7e]*'))"
+    return f"SELECT k, x, x AS form FROM t WHERE x IS NULL OR regexp_full_match(x, '[\\x0a\\x20-\\x7e]*') UNION ALL {rest}"
 
 
 def _arrow_sql(select: str, names: list[str]):
@@ -78,7 +112,7 @@ def consistent_form(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, form string): each text in its consistent form."""
     kind = df.schema[key].dataType.simpleString()
     part = df.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    run = _arrow_sql(f"SELECT k, CASE WHEN regexp_full_match(x, '[\\x0a\\x20-\\x7e]*') THEN x ELSE {form_sql('x')} END AS form FROM t", ["k", "form"])
+    run = _arrow_sql(f"SELECT k, form FROM ({form_sql()})", ["k", "form"])
     return part.mapInArrow(run, f"k {kind}, form string").withColumnRenamed("k", key)
 
 
@@ -87,7 +121,7 @@ def form_digests(df: DataFrame, key: str = "doc_id", text: str = "text", visible
     kind = df.schema[key].dataType.simpleString()
     part = df.select(F.col(key).alias("k"), F.col(text).alias("x")).filter(F.length("x") >= visible)
     sql = f"""SELECT k, md5(form) AS form_id, CASE WHEN form = x THEN md5(form) ELSE md5(x) END AS text_id
-        FROM (SELECT k, x, CASE WHEN regexp_full_match(x, '[\\x0a\\x20-\\x7e]*') THEN x ELSE {form_sql('x')} END AS form FROM t)
+        FROM ({form_sql()})
         WHERE length(form) >= 4 * {visible} OR length(regexp_replace(form, '\\s', '', 'g')) >= {visible}"""
     return part.mapInArrow(_arrow_sql(sql, ["k", "form_id", "text_id"]), f"k {kind}, form_id string, text_id string").withColumnRenamed("k", key)
 

@@ -264,3 +264,28 @@ def test_composed_and_decomposed_accents(spark):
 
     rows[1] = (2, None, unicodedata.normalize("NFD", rows[0][2]))
     assert [(r.doc_a, r.doc_b) for r in visual.equal_looking(docs(spark, rows)).collect()] == [(1, 2)]
+
+
+def forms(spark, texts):
+    rows = visual.consistent_form(docs(spark, [(i, None, t) for i, t in enumerate(texts)])).collect()
+    return [r.form for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_canonically_equal_texts_have_one_form(spark):
+    """Every code point below U+20000 that has a canonical decomposition, and the decomposition."""
+    import unicodedata
+
+    pairs = [(c, d) for c in map(chr, range(0x80, 0x20000)) if (d := unicodedata.normalize("NFD", c)) != c]
+    assert len(pairs) > 12_000
+    out = forms(spark, [f"ab{x}cd" for p in pairs for x in p])
+    assert [p for p, a, b in zip(pairs, out[::2], out[1::2]) if a != b] == []
+    assert forms(spark, out[:4000]) == out[:4000]
+
+
+def test_line_ends_joiners_and_styled_letters(spark):
+    same = [("a\r\nb", "a\nb"), ("a\rb", "a\nb"), ("￥100", "¥100"), ("ｶﾞ", "ガ"), ("𝐓𝐡𝐞 𝒫𝚕𝚊𝚗", "The Plan"), ("Ꮲlаn", "Plan"), ("օffice ofﬁce", "office office"), ("Ⅷ ĳ", "VIII ij"), ("ΆЎў", "Áў".replace("ў", "Y̆y̆")), ("pl\u200dan", "plan")]
+    out = forms(spark, [x for p in same for x in p])
+    assert out[::2] == out[1::2]
+    other = [("a\rb", "ab"), ("می\u200cخواهم", "میخواهم"), ("क्\u200dष", "क्ष"), ("👨\u200d👩", "👨👩"), ("α", "a"), ("x²", "x2")]
+    out = forms(spark, [x for p in other for x in p])
+    assert all(a != b for a, b in zip(out[::2], out[1::2]))
