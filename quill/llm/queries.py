@@ -114,6 +114,10 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(tokens.token_counts(_documents(spark, folder)))
 
 
+def p9_fullness(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fullness(p9_containers(spark, folder))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual.equal_looking(_documents(spark, folder))
 

@@ -336,15 +336,14 @@ def test_frequent_keys_are_cut_into_groups_and_lose_nothing(spark, monkeypatch):
     whole = {(r.id_a, r.id_b) for r in near_duplicates.similar_records(df).collect()}
     monkeypatch.setattr(near_duplicates, "PART_BYTES", 40 * near_duplicates.RECORD.itemsize)
     monkeypatch.setattr(near_duplicates, "SHARE", 1)
-    content = near_duplicates._content(df)
-    assert max(near_duplicates._frequent(content, 1).values()) >= 3
+    assert max(near_duplicates._frequent(df, 1).values()) >= 3
     cut_up = {(r.id_a, r.id_b) for r in near_duplicates.similar_records(df).collect()}
     assert whole == cut_up == brute(rows)
 
 
 def test_parts_grow_with_the_records(spark):
     few, many = near_duplicates.parts_of(spark, 10**7), near_duplicates.parts_of(spark, 10**8)
-    assert many >= 9 * few > 9 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert many >= 9 * few > 36 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_every_query_runs(spark, folder):
@@ -358,4 +357,4 @@ def test_every_query_on_empty_tables(spark, empty_folder):
     from quill.llm import queries
 
     for name, f in queries.queries().items():
-        assert f(spark, empty_folder).count() == 0, name
+        assert f(spark, empty_folder).count() == (name == "p9_fullness"), name  # one row about nothing

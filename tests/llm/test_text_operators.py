@@ -184,6 +184,45 @@ def test_best_fit(sizes):
     assert all(sum(s for s, c in zip(sizes, placed.tolist()) if c == k) == loads[k] for k in range(len(loads)))
 
 
+def filled(plan, counts):
+    """Load of each container that a plan over counts makes."""
+    load: dict[int, int] = {}
+    for size, n in counts.items():
+        own = sorted(p[1:] for p in plan if p[0] == size)
+        for i in range(n):
+            begin, container, each = max(p for p in own if p[0] <= i)
+            load[container + (i - begin) // each] = load.get(container + (i - begin) // each, 0) + size
+    return load
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 40), max_size=12))
+def test_best_fit_on_counts(counts):
+    load = filled(packing.best_fit_counts(counts, 100), counts)
+    assert max(load.values(), default=0) <= 100 and sum(load.values()) == sum(s * n for s, n in counts.items())
+    assert sorted(load) == list(range(len(load)))
+    _, one_by_one = packing.best_fit([s for s, n in counts.items() for _ in range(n)], 100)
+    assert len(load) <= len(one_by_one) + max(1, len(one_by_one) // 10)
+
+
+def test_counts_of_any_number(spark):
+    """More underfull containers than a task could hold are a few runs."""
+    plan = packing.best_fit_counts({1100: 10**12, 900: 10**12, 40: 3 * 10**12}, 2048)
+    assert len(plan) < 10
+
+
+def test_fullness(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1100, 1100, 1100, 900, 40, 30, rng.randint(1, 2048)])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, size bigint").repartition(23)
+    packed = packing.pack(df)
+    got = packing.fullness(packed).first()
+    assert packed.count() == 6000 and got.held == sum(s for _, s in rows) and got.fullest <= 2048
+    _, loads = packing.best_fit([s for _, s in rows], 2048)  # all in one place
+    assert got.containers <= 1.01 * len(loads)
+    assert packing.fullness(packing.pack(df.limit(0))).first().containers == 0
+
+
 def test_packing(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([0, None, 5, 300, 1100, 2048, 2049, 5000, rng.randint(1, 2048)])) for i in range(400)] + [(7, 900), (7, 900), (None, 10)]
