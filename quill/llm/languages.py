@@ -8,8 +8,12 @@ Labels are dirty, so the training sample is cleaned first: each word votes for t
 most frequent, and documents whose words outvote their label are left out. Names are told from words by being
 capitalised and about as frequent in every language.
 
-Training: at most SAMPLE_DOCUMENTS labelled documents a language, the first by hash, whole texts; this bound does not grow
-with the corpus. Everything else covers all rows.
+Every language with labelled text is told by its automaton, whatever its letters; a range of letters stands in only for a
+language without any. Letters that an automaton doesn't know are phrases of their own, so runs of foreign letters cost their
+length. Runs written without spaces are parsed like words.
+
+Training: at most SAMPLE_DOCUMENTS labelled documents and SAMPLE_BYTES a language, the first by hash, whole texts; these
+bounds don't grow with the corpus. Everything else covers all rows.
 
 Defined results: null, empty and letterless texts have language null and confidence 0; segments too short to decide
 inherit the language of their text; rows sent twice give equal rows.
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quill.llm.markup import READERS, language as markup_language
 from quill.llm.visual import FOLD, LIGATURES, WIDE
+from quill.operators.joins import join_checked
 
-SAMPLE_DOCUMENTS = 250
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 250, 8 << 20
 LANGUAGES = ("es", "en", "pt", "fr", "de", "ru", "zh", "ja", "ar", "hi", "th")
 #: Phrases by which another language must do better, and the share of phrases it may need, to hold a segment.
 MARGIN, SHARE = 2.0, 0.7
@@ -40,7 +45,11 @@ CACHE_WORDS = 1_000_000
 #: Letters that only one language here uses, for languages without labelled text.
 SCRIPTS = {"ru": "а-яА-ЯёЁ", "ja": "぀-ヿ", "zh": "一-鿿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "th": "฀-๿"}
 
+#: Letters from here on are written without spaces, but for Hangul, which no language here uses.
+UNSPACED = "\u2e80"
 OWN_LETTERS = np.array([lang in SCRIPTS for lang in LANGUAGES])
+HAN = np.array([lang in ("zh", "ja") for lang in LANGUAGES])
+HAN_MARGIN = 4.0
 
 _word = re.compile(r"[^\W\d_]+")
 _cut = re.compile(r"[\n|]+|(?<=[.!?…؟।])(?:[\"”»’)\]]*)\s+|(?<=[。！？])")
@@ -141,32 +150,34 @@ class Automaton:
 
 def training_words(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     """Words of each language from its labelled texts, mislabelled texts and names left out."""
-    docs: list[tuple[str, set[str]]] = []
+    docs: list[tuple[str, set[str], set[str]]] = []
     for lang, own in sorted(texts.items()):
         for t in own:
-            docs.append((lang, set(_word.findall(folded(t)))))
+            ws = set(_word.findall(folded(t)))
+            # a run of letters without spaces seldom recurs, its letters do
+            docs.append((lang, ws, {x for w in ws for x in (w if w[0] > UNSPACED else (w.lower(),))}))
     for _ in range(2):
-        size = Counter(lang for lang, _ in docs)
+        size = Counter(lang for lang, _, _ in docs)
         rate: dict[str, dict[str, float]] = defaultdict(dict)
-        counts: dict[tuple[str, str], int] = Counter((lang, w.lower()) for lang, ws in docs for w in ws)
+        counts: dict[tuple[str, str], int] = Counter((lang, x) for lang, _, units in docs for x in units)
         for (lang, w), n in counts.items():
             rate[w][lang] = n / size[lang]
         kept = []
-        for lang, ws in docs:
+        for lang, ws, units in docs:
             votes: Counter = Counter()
-            for w in ws:
-                r = rate[w.lower()]
+            for x in sorted(units):
+                r = rate[x]
                 best = max(r.values())
                 home = [x for x, v in r.items() if v == best]
                 if len(home) == 1 and best > 1.5 * max((v for x, v in r.items() if x != home[0]), default=0):
                     votes[home[0]] += min(1.0, best * 10)
             if not votes or votes.most_common(1)[0][0] == lang:
-                kept.append((lang, ws))
+                kept.append((lang, ws, units))
         docs = kept
-    size = Counter(lang for lang, _ in docs)
+    size = Counter(lang for lang, _, _ in docs)
     seen: dict[str, Counter] = defaultdict(Counter)
     as_name: Counter = Counter()
-    for lang, ws in docs:
+    for lang, ws, _ in docs:
         own = {w.lower() for w in ws}
         seen[lang].update(own)
         as_name.update(own - {w for w in ws if not w[0].isupper()})
@@ -202,27 +213,20 @@ class Model:
 
     def learn(self, word: str) -> None:
         low = word.lower()
-        # letters that one language alone uses settle the matter; the labels of rare languages are few and dirty
-        sole = next((i for i, script in enumerate(self.scripts) if script and LANGUAGES[i] != "zh" and script.search(low)), None)
-        han = sole is None and self.scripts[LANGUAGES.index("zh")].search(low) is not None
         n = []
         for i, a in enumerate(self.automata):
-            if i == sole:
-                n.append(1.0 + len(low) // 8)
-            elif han and len(low) >= 8 and LANGUAGES[i] == "ja":  # Japanese doesn't go that long without kana
-                n.append(len(low) + 1.0)
-            elif sole is not None or han != (LANGUAGES[i] in ("zh", "ja")) or not han and self.scripts[i]:
-                n.append(len(low) + 1.0)
-            elif len(a.next) > 1:
+            if len(a.next) > 1:
                 n.append(float(a.phrases(low)))
             else:  # no labelled text: by its letters alone
-                n.append(1.0 + len(low) // 3 if han else len(low) + 1.0)
+                n.append(1.0 + len(low) // 8 if self.scripts[i] and self.scripts[i].search(low) else len(low) + 1.0)
         best = min(n)
-        if best > 1 and sole is None and not han:
+        # languages that know any of its letters, and letters written without spaces, whose runs seldom recur
+        knowing, run = sum(x <= len(low) for x in n), low[0] > UNSPACED
+        if best > 1 and knowing > 1 and not run:
             # known to no language as a whole: a name, or a misread or rare word
             weight = 0.0 if word[0].isupper() else 0.25
         else:
-            weight = 0.25 if len(low) == 1 and low < "\u2e80" else 1.0
+            weight = 0.25 if len(low) == 1 and not run else 1.0
         self.at[word] = len(self.rows)
         self.rows.append([min(3.0 + len(low) / 4, x - best) * weight if weight else 0.0 for x in n] + [weight])
 
@@ -286,7 +290,9 @@ class Model:
         main = np.where(mass.max(1) > 0, mass.argmax(1), whole.argmin(1))[which]
         row = np.arange(len(which))
         at_main, at_best = surplus[row, main], two[:, 0]
-        other = (best != main) & (weight >= np.where(OWN_LETTERS[best], 1, MIN_WORDS)) & (at_main - at_best >= MARGIN) & (weight + at_best <= SHARE * (weight + at_main))
+        # Han letters are common to two languages, of which both then need more to tell them apart
+        margin = np.where(HAN[best] & HAN[main], HAN_MARGIN, MARGIN)
+        other = (best != main) & (weight >= np.where(OWN_LETTERS[best], 1, MIN_WORDS)) & (at_main - at_best >= margin) & (weight + at_best <= SHARE * (weight + at_main))
         lang = np.where(other, best, main)
         certain = np.where(lang == best, 2 * gap, 0.0)
         starts = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (lang[1:] != lang[:-1]))))
@@ -308,14 +314,16 @@ def model(words: tuple) -> Model:
 
 def label_table(names: DataFrame) -> dict[str, str]:
     """label -> language, of the table of language names (its size is fixed)."""
-    return {r.label: r.lang for r in names.select("label", "lang").limit(10_000).collect()}
+    return {r.label: r.lang for r in names.select("label", "lang").collect()}
 
 
 def trained(docs: DataFrame, names: DataFrame, text: str = "text", label: str = "label", key: str = "item", sample: int = SAMPLE_DOCUMENTS) -> tuple:
     """Training words of each language, from at most ``sample`` labelled texts of each."""
     labelled = docs.select(F.lower(F.trim(label)).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"), F.col(key).alias("k")).filter(F.length("text") >= MIN_POINTS)
-    known = labelled.join(F.broadcast(names.select("label", "lang")), "label")
-    first = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))).filter(F.col("n") <= sample)
+    known = join_checked(labelled, names.select("label", "lang"), ["label"])
+    order = Window.partitionBy("lang").orderBy("h", "k")
+    first = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
+    first = first.withColumn("b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("b") <= SAMPLE_BYTES)
     texts: dict[str, list[str]] = defaultdict(list)
     for r in sorted(first.select("lang", "h", "text").collect(), key=lambda r: (r.lang, r.h)):
         texts[r.lang].append(natural(r.text))
@@ -355,11 +363,9 @@ def segments(texts: DataFrame, words: tuple, marked: tuple[str, ...] = ("documen
 
 def other_languages(texts: DataFrame, names: DataFrame, words: tuple) -> DataFrame:
     """(tab, item, lang), distinct: languages that a text of MIN_POINTS or more code points holds besides its label's."""
-    labels = label_table(names)
-    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    labels = names.select(F.col("label").alias("name"), F.col("lang").alias("named")).distinct()
     return (
-        segments(texts.filter(F.length("text") >= MIN_POINTS), words)
-        .withColumn("named", F.try_element_at(table, F.lower(F.trim("label"))))
+        join_checked(segments(texts.filter(F.length("text") >= MIN_POINTS), words).withColumn("name", F.lower(F.trim("label"))), labels, ["name"], "left")
         .filter(F.col("named").isNull() | (F.col("named") != F.col("lang")))
         .select("tab", "item", "lang")
         .distinct()

@@ -45,6 +45,25 @@ def test_languages_of_held_out_documents(spark, folder):
     assert all(0 <= r.confidence <= 1 for r in rows)
 
 
+def test_automata_decide_whatever_the_letters():
+    """Of languages with labelled text the automata alone decide, letters only of those without."""
+    own = languages.Model((("ru", ("сирены", "река")), ("es", ("ракета", "река", "casa"))))
+    lang = {w: languages.LANGUAGES[min(range(len(languages.LANGUAGES)), key=own.vectors([w])[0][:-1].__getitem__)] for w in ("ракета", "сирены", "casa", "ありがとう", "गाँव")}
+    assert lang == {"ракета": "es", "сирены": "ru", "casa": "es", "ありがとう": "ja", "गाँव": "hi"}
+
+
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(str(i), f"palabra{chr(97 + i % 26)}{chr(97 + i // 26)} " * 40, "es", "extra") for i in range(60)]
+    df = spark.createDataFrame(rows, "item string, text string, label string, lang string")
+    names = spark.createDataFrame([("es", "es")], "label string, lang string")
+    seen = []
+    monkeypatch.setattr(languages, "training_words", lambda texts: seen.append(sum(map(len, texts["es"]))) or {})
+    languages.trained(df, names)
+    monkeypatch.setattr(languages, "SAMPLE_BYTES", 5000)
+    languages.trained(df, names)
+    assert 4000 < seen[1] <= 5000 < seen[0]
+
+
 def test_segments_of_edge_cases(spark):
     rows = [("documents", "1", None, None, 1), ("documents", "2", "", "es", 1), ("documents", "3", "12345 !!", "es", 1), ("documents", None, "谁审查了农村普查？", None, 1)]
     df = spark.createDataFrame(rows, "tab string, item string, text string, label string, lang int")
