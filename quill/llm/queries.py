@@ -49,19 +49,24 @@ def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.main_language(texts, _language_words(spark, folder))
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _both(spark, folder).select(F.struct("tab", "item").alias("id"), "text")
+def _pieces(spark: SparkSession, folder: str, once: bool) -> DataFrame:
+    """Pieces of all oversized texts; ``once``: of chunks sent again one row only, told by a hash before they are cut."""
+    rows = _both(spark, folder).filter(F.length("text") > splitting.LIMIT)
+    if once:
+        sent = rows.filter("tab = 'chunk_meta'").withColumn("h", F.xxhash64("text")).dropDuplicates(["item", "h"]).drop("h")
+        rows = rows.filter("tab = 'documents'").unionByName(sent)
+    texts = rows.select(F.struct("tab", "item").alias("id"), "text")
     flat = texts.select(F.concat_ws("\x1f", "id.tab", F.coalesce("id.item", F.lit("\x1e"))).alias("key"), "text")
     item = F.expr("nullif(substring(key, instr(key, chr(31)) + 1), chr(30))")
     return splitting.split_oversized(flat, "key").select(F.split_part("key", F.lit("\x1f"), F.lit(1)).alias("tab"), item.alias("item"), "piece", "start", "shared", "text")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder).distinct()
+    return _pieces(spark, folder, True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder).filter("piece = 1").select("tab", "item").distinct()
+    return _pieces(spark, folder, False).filter("piece = 1").select("tab", "item").distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
