@@ -22,9 +22,14 @@ def normal_name(name: str | Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(T.lit_or_col(name), r"(?U)\s+", " "), F.lit(TRIM)))
 
 
+def names(text: str | Column) -> Column:
+    """Runs of capitalised words, in order."""
+    return F.regexp_extract_all(T.lit_or_col(text), F.lit(NAME), F.lit(0))
+
+
 def recognised(chunks: DataFrame, key: str = "chunk_id", text: str = "texto") -> DataFrame:
     """(key, pos, name, score): runs of capitalised words of the whole text, in order; score is the length."""
-    found = chunks.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(NAME), F.lit(0))).alias("pos", "name"))
+    found = chunks.select(key, F.posexplode(names(text)).alias("pos", "name"))
     return found.withColumn("score", F.length("name"))
 
 

@@ -159,11 +159,13 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     return sentences.select(key, F.explode(packed(F.col("sentences"), most, overlap)).alias("c")).select(key, "c.*")
 
 
-def kept_chunks(chunks: DataFrame, least: int, key: str = "doc_id") -> DataFrame:
-    """Chunks of at least ``least`` characters; of a document without any, its longest (the first of equals)."""
+def kept_chunks(chunks: DataFrame, least: int, key: str = "doc_id", size: str | None = None) -> DataFrame:
+    """Chunks of at least ``least`` characters; of a document without any, its longest (the first of equals). ``size`` names
+    a column of lengths that takes the place of the text."""
+    length = F.col(size) if size else F.length("texto")
     w = Window.partitionBy(key)
-    ranked = chunks.withColumn("_most", F.max(F.length("texto")).over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.length("texto").desc(), "posicion")))
-    return ranked.filter((F.length("texto") >= least) | ((F.col("_most") < least) & (F.col("_n") == 1))).drop("_most", "_n")
+    ranked = chunks.withColumn("_most", F.max(length).over(w)).withColumn("_n", F.row_number().over(w.orderBy(length.desc(), "posicion")))
+    return ranked.filter((length >= least) | ((F.col("_most") < least) & (F.col("_n") == 1))).drop("_most", "_n")
 
 
 def first_chunks(chunks: DataFrame, most: int, key: str = "doc_id") -> DataFrame:

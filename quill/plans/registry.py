@@ -38,13 +38,22 @@ def docs(s, d):
     return read_table(s, d, "documents")
 
 
-def chunk_rows(s, d):
-    """One row for each chunk: rows sent again are equal but for loaded_at."""
-    return read_table(s, d, "chunk_meta").drop("loaded_at").distinct()
+def chunk_rows(s, d, *columns):
+    """One row for each chunk, of the columns asked for: rows sent again are equal but for loaded_at. None of them may be a
+    text: those are in chunk_values."""
+    return read_table(s, d, "chunk_meta").select(*(c for c in columns)).distinct()
+
+
+def chunk_values(s, d, *values):
+    """(chunk_id, doc_id, posicion, values): expressions over the chunks' texts, computed before rows sent again are dropped,
+    so that only the values are shuffled."""
+    rows = read_table(s, d, "chunk_meta").select("chunk_id", "doc_id", "posicion", F.xxhash64("texto").alias("_h"), *values)
+    return rows.dropDuplicates(["chunk_id", "doc_id", "posicion", "_h"]).drop("_h")
 
 
 def texts(s, d):
-    return chunk_rows(s, d).select("chunk_id", "doc_id", "posicion", "texto")
+    """One row for each chunk. Texts are shuffled once, by chunk; only their hashes are compared."""
+    return chunk_values(s, d, "texto")
 
 
 def fragments(s, d):
@@ -94,7 +103,7 @@ def graded(s, d):
 
 
 def pool(s, d):
-    counts = chunk_rows(s, d).groupBy("fuente").agg(F.countDistinct("chunk_id").alias("n"))
+    counts = chunk_rows(s, d, "fuente", "chunk_id").groupBy("fuente").agg(F.countDistinct("chunk_id").alias("n"))
     return grades(s, d).join(counts, "fuente").select("query_id", "grade", "n")
 
 
@@ -106,8 +115,13 @@ def retrieved(s, d):
     return cited(s, d).join(path_of(s, d), "doc_id", "left").select("query_id", F.coalesce("fuente", F.lit("")).alias("item"))
 
 
+def mentioned(s, d):
+    """(chunk_id, pos, name, score) of each chunk; names are found before rows sent again are dropped."""
+    return chunk_values(s, d, G.names("texto").alias("names")).select("chunk_id", F.posexplode("names").alias("pos", "name")).withColumn("score", F.length("name"))
+
+
 def mention_rows(s, d):
-    return G.best_mentions(G.recognised(texts(s, d)))
+    return G.best_mentions(mentioned(s, d))
 
 
 def graph_tables(s, d):
@@ -170,17 +184,18 @@ def chunk_pack(s, d):
 
 @query
 def approx_tokens(s, d):
-    return texts(s, d).select("chunk_id", T.word_count("texto").alias("n"))
+    return chunk_values(s, d, T.word_count("texto").alias("n")).select("chunk_id", "n")
 
 
 @query
 def filter_min_chars(s, d):
-    return S.kept_chunks(chunk_rows(s, d).filter("texto IS NOT NULL").select("doc_id", "chunk_id", F.coalesce("posicion", F.lit(-1)).alias("posicion"), "texto"), 250).select("doc_id", "chunk_id")
+    sized = chunk_values(s, d, F.length("texto").alias("n")).filter("n IS NOT NULL").withColumn("posicion", F.coalesce("posicion", F.lit(-1)))
+    return S.kept_chunks(sized, 250, size="n").select("doc_id", "chunk_id")
 
 
 @query
 def cap_per_doc(s, d):
-    rows = chunk_rows(s, d).select("doc_id", "posicion").distinct()
+    rows = chunk_rows(s, d, "doc_id", "posicion")
     return S.first_chunks(rows, 3)
 
 
@@ -196,12 +211,12 @@ def split_secondary(s, d):
 
 @query
 def well_formed(s, d):
-    return texts(s, d).select("chunk_id", T.opens_well("texto").alias("opens"), T.closes_well("texto").alias("closes"))
+    return chunk_values(s, d, T.opens_well("texto").alias("opens"), T.closes_well("texto").alias("closes")).select("chunk_id", "opens", "closes")
 
 
 @query
 def chunk_ids(s, d):
-    return S.numbered(chunk_rows(s, d).filter("posicion IS NOT NULL").select("doc_id", "posicion").distinct())
+    return S.numbered(chunk_rows(s, d, "doc_id", "posicion").filter("posicion IS NOT NULL"))
 
 
 # index and search
@@ -337,12 +352,12 @@ def build_index(s, d):
 
 @query
 def entity_normalize(s, d):
-    return G.recognised(texts(s, d)).select("chunk_id", "pos", G.normal_name("name").alias("name"))
+    return mentioned(s, d).select("chunk_id", "pos", G.normal_name("name").alias("name"))
 
 
 @query
 def graph_build_simple(s, d):
-    return G.simple_edges(R.top(G.recognised(texts(s, d)), 8, ["chunk_id"], [F.asc("pos")], "_n").select("chunk_id", "pos", "name"))
+    return G.simple_edges(R.top(mentioned(s, d), 8, ["chunk_id"], [F.asc("pos")], "_n").select("chunk_id", "pos", "name"))
 
 
 @query
@@ -452,7 +467,7 @@ def validate_sequence(s, d):
 @query
 def orphan_docs(s, d):
     """Cited documents that no chunk has."""
-    return cited(s, d).select("doc_id").distinct().join(chunk_rows(s, d).select("doc_id"), "doc_id", "left_anti")
+    return cited(s, d).select("doc_id").distinct().join(chunk_rows(s, d, "doc_id"), "doc_id", "left_anti")
 
 
 @query
@@ -572,10 +587,10 @@ def jsonl_roundtrip(s, d):
 
 @query
 def append_missing(s, d):
-    indexed = chunk_rows(s, d).select("doc_id").distinct()
+    indexed = chunk_rows(s, d, "doc_id")
     return append.missing(docs(s, d).select(F.col("doc_code").alias("doc_id"), "text"), indexed).select("doc_id")
 
 
 @query
 def migrate_ids(s, d):
-    return append.migrated(chunk_rows(s, d).filter("posicion IS NOT NULL").groupBy("doc_id", "posicion").agg(F.min("chunk_id").alias("chunk_id")))
+    return append.migrated(chunk_rows(s, d, "doc_id", "posicion", "chunk_id").filter("posicion IS NOT NULL").groupBy("doc_id", "posicion").agg(F.min("chunk_id").alias("chunk_id")))

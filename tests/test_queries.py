@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -40,6 +41,13 @@ def test_query(spark, con, folder, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["approx_tokens", "well_formed", "orphan_docs", "filter_min_chars", "cap_per_doc", "chunk_ids", "entity_normalize", "append_missing"])
+def test_no_text_is_shuffled(spark, folder, name):
+    plan = registry.queries()[name](spark, folder)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert inputs and not any(re.search(r"\btexto?#", x) for x in inputs)
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["query_id", "kind", "rank", "item", "text"] and df.count() > 0
