@@ -7,12 +7,12 @@ DIGITS before they order rows, so that the order of additions doesn't decide.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quill.functions import text as T
@@ -44,13 +44,15 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
 
     Up to QUERIES queries, each task multiplies its vectors with all of them and passes on the k best of each query only.
     Beyond, both sides are cut into blocks by a hash of the key, which meet in an equi-join; each pair of blocks is one
-    matrix product. No row pairs are made. Null vectors take no part.
+    matrix product. No row pairs are made. Null vectors take no part; a
+    vector of another dimension than the queries' is an error.
     """
     if queries.limit(QUERIES + 1).count() <= QUERIES:
         found = _multiplied_in_tasks(vectors, queries, k, key, vector)
         return top(found, k, ["query_id"], [F.desc("score"), F.asc("key")]).select("query_id", "rank", F.col("key").alias(key), "score")
-    present = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    asked = _present(queries, key, vector)
+    size = asked.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 0
+    present, asked = _present(vectors, key, vector, size), _present(queries, key, vector, size)
     n = max(1, -(-present.count() // BLOCK))
 
     def pack(rows: DataFrame, blocks: int, name: str) -> DataFrame:
@@ -74,9 +76,20 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     return top(found, k, ["query_id"], [F.desc("score"), F.asc("key")]).select("query_id", "rank", F.col("key").alias(key), "score")
 
 
+def _present(vectors: DataFrame, key: str, vector: str, size: int | None = None) -> DataFrame:
+    """(key, v) of rows with both. ``size``: the dimension that all must have; any other is an error of the running query."""
+    rows = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    if size is None:
+        return rows
+    wrong = F.raise_error(F.concat(F.lit(f"vectors of {size} dimensions, but one of "), F.size("v").cast("string"))).cast("array<double>")
+    return rows.select("key", F.when(F.size("v") == size, F.col("v")).otherwise(wrong).alias("v"))
+
+
 def _multiplied_in_tasks(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     kind = vectors.schema[key].dataType.simpleString()
-    asked = queries.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).toArrow()
+    asked = _present(queries, key, vector)
+    size = asked.select(F.size("v").alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = _present(queries, key, vector, size).toArrow()
     ids, q = asked.column("key").combine_chunks(), asked.column("v").combine_chunks()
     n = len(ids)
     matrix = q.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
@@ -94,9 +107,7 @@ def _multiplied_in_tasks(vectors: DataFrame, queries: DataFrame, k: int, key: st
                 which = np.repeat(np.arange(n), best.shape[1])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "key", "score"])
 
-    size = F.size(vector) == (matrix.shape[1] if n else -1)
-    present = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull() & size).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    return present.mapInArrow(run, f"query_id {kind}, key {kind}, score double")
+    return _present(vectors, key, vector, size).mapInArrow(run, f"query_id {kind}, key {kind}, score double")
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "texto") -> DataFrame:
@@ -108,7 +119,8 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
     return queries.select(key, F.explode(T.tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("qw"))
 
 
-_token = re.compile(r"[^\W_]+")
+#: The runs of letters and numbers of functions.text.tokens, which the tasks of a small search find themselves.
+_token = regex.compile(r"[\p{L}\p{N}]+")
 
 
 def sparse_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "texto") -> DataFrame:
@@ -166,17 +178,31 @@ def _scored_in_tasks(chunks: DataFrame, terms: DataFrame, k: int, key: str, text
     return chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull()).mapInPandas(run, kinds).withColumnRenamed("key", key)
 
 
-def fuse(rankings: DataFrame, method: str, weights: dict[int, float] | None = None, k0: int = 60) -> DataFrame:
+def checked_weights(weights: dict[int, float] | list[float] | None, sources: int | None = None) -> dict[int, float] | None:
+    """Weights by source. A list has one for each source in order, and as many as there are sources; none at all means 1."""
+    if weights is None:
+        return None
+    if sources is not None and len(weights) != sources:
+        raise ValueError(f"{len(weights)} weights for {sources} sources")
+    own = dict(weights) if isinstance(weights, dict) else dict(enumerate(weights))
+    if any(not isinstance(w, (int, float)) or w != w for w in own.values()):
+        raise ValueError(f"weights must be numbers: {own}")
+    return own
+
+
+def fuse(rankings: DataFrame, method: str, weights: dict[int, float] | list[float] | None = None, k0: int = 60, sources: int | None = None) -> DataFrame:
     """(query_id, rank, item, score). method: combsum, combmnz or rrf. A query with one source keeps its ranking and
-    scores, weight or none. Equal scores: by the first source that has the item, then by rank there."""
+    scores, weight or none. Equal scores: by the first source that has the item, then by rank there. Where weights are
+    given, a source without one is an error: of the call if ``sources`` says how many there are, else of the running query."""
     w: Column = F.lit(1.0)
-    if weights:
-        w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]), F.col("source").cast("int")), F.lit(1.0))
+    if (own := checked_weights(weights, sources)) is not None:
+        known = F.create_map(*[F.lit(x) for kv in own.items() for x in (int(kv[0]), float(kv[1]))]) if own else F.create_map().cast("map<int,double>")
+        w = F.coalesce(F.try_element_at(known, F.col("source").cast("int")), F.raise_error(F.concat(F.lit("no weight for source "), F.col("source").cast("string"))).cast("double"))
     terms = {"combsum": F.sum(w * F.col("score")), "combmnz": F.sum(w * F.col("score")) * F.count_if(F.col("score") > 0), "rrf": F.sum(w / (k0 + F.col("rank")))}
     if method not in terms:
         raise ValueError(f"unknown fusion: {method}")
-    sources = rankings.withColumn("_n", F.size(F.collect_set("source").over(Window.partitionBy("query_id"))))
-    fused = sources.groupBy("query_id", "item").agg(terms[method].alias("sum"), F.first("_n").alias("_n"), F.min(F.struct("source", "rank")).alias("first"), F.max("score").alias("single"))
+    counted = rankings.withColumn("_n", F.size(F.collect_set("source").over(Window.partitionBy("query_id"))))
+    fused = counted.groupBy("query_id", "item").agg(terms[method].alias("sum"), F.first("_n").alias("_n"), F.min(F.struct("source", "rank")).alias("first"), F.max("score").alias("single"))
     scored = fused.select("query_id", "item", F.round(F.when(F.col("_n") == 1, F.col("single")).otherwise(F.col("sum")), DIGITS).alias("score"), "first", "_n")
     order = [F.when(F.col("_n") == 1, F.col("first.rank")).otherwise(F.lit(0)), F.desc("score"), F.col("first.source"), F.col("first.rank"), F.col("item")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint")).select("query_id", "rank", "item", "score")

@@ -174,7 +174,8 @@ def sentences(s, d):
 
 @query
 def sentence_cap(s, d):
-    return clean_docs(s, d).select("doc_id", F.posexplode(S.capped(S.sentence_array("text"), 20)).alias("n", "part"))
+    found = clean_docs(s, d).select("doc_id", S.sentence_array("text").alias("sentences"))
+    return found.select("doc_id", F.posexplode(S.capped(F.col("sentences"), 20)).alias("n", "part"))
 
 
 @query

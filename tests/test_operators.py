@@ -133,7 +133,54 @@ def test_fusion(spark):
     assert order("combsum")["q"] == [("b", 1.1), ("a", 0.9), ("c", 0.1)]
     assert order("combmnz")["q"] == [("b", 2.2), ("a", 0.9), ("c", 0.1)]
     assert [i for i, _ in order("rrf")["q"]] == ["b", "a", "c"]
-    assert order("rrf", {1: 0.0})["solo"] == [("z", 7.0)]
+    assert order("rrf", {0: 1.0, 1: 0.0})["solo"] == [("z", 7.0)]
+
+
+def test_weights_are_checked(spark):
+    import pytest
+
+    df = spark.createDataFrame([("q", 0, 1, "a", 0.9), ("q", 1, 1, "b", 0.6)], RANK)
+    with pytest.raises(ValueError):
+        R.fuse(df, "rrf", [1.0], sources=2)
+    with pytest.raises(ValueError):
+        R.checked_weights({0: "much"})
+    with pytest.raises(Exception, match="no weight for source 1"):
+        R.fuse(df, "rrf", {0: 1.0}).collect()
+    assert R.checked_weights([1.0, 0.5], 2) == {0: 1.0, 1: 0.5} and R.checked_weights(None) is None
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aéB1 ..!?\"')(¿SrDr", max_size=60))
+def test_both_sentence_splitters_agree(text):
+    SEEN.append(" ".join(text.split()))
+
+
+SEEN: list[str] = ["Hablo el Dr. Ramirez. Luego callo.", "Fue en 2026. Todo siguio.", 'Dijo "hola." Luego salio.', "e.g. One. al. Two ... Three… Four!) Five", "हिन्दी. Zwei. है. Drei", ""]
+
+
+def test_sentence_expression_equals_the_arrow_function(spark):
+    assert len(SEEN) > 20
+    assert values(spark, SEEN, S.sentence_expression) == values(spark, SEEN, S.sentence_array)
+    assert values(spark, [None], S.sentence_array) == [None]
+
+
+def test_a_vector_of_another_dimension_is_an_error(spark, monkeypatch):
+    import pytest
+
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0, 1.0])], "vec_id bigint, embedding array<float>")
+    for most in (R.QUERIES, 1):
+        monkeypatch.setattr(R, "QUERIES", most)
+        with pytest.raises(Exception, match="dimensions"):
+            R.dense_top(df, df.filter("vec_id % 20 = 0"), 2).collect()
+        assert R.dense_top(df.filter("vec_id <> 1"), df.filter("vec_id % 20 = 0"), 1).count() == 2
+
+
+def test_both_ways_of_sparse_search_agree(spark, monkeypatch):
+    chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(["la órbita_baja 2² café", "órbita y café", "हिन्दी पाठ", None, "baja baja órbita"])], "chunk_id string, texto string")
+    queries = spark.createDataFrame([("q", "órbita baja café 2²"), ("h", "हिन्दी")], "query_id string, text string")
+    few = sorted(map(str, R.sparse_top(chunks, queries, 5).collect()))
+    monkeypatch.setattr(R, "TERMS", 0)
+    assert few == sorted(map(str, R.sparse_top(chunks, queries, 5).collect())) and few
 
 
 def test_documents_of(spark):
