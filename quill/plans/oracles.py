@@ -57,6 +57,35 @@ glued AS (SELECT doc_id, sid, string_agg(CASE WHEN brk = 1 OR i = 0 THEN body EL
 sents AS (SELECT doc_id, {strip('sentence')} AS sentence, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS n FROM glued WHERE {strip('sentence')} <> '')"""
 
 
+def secondary(most: int) -> str:
+    """CTEs: from src (id, s) to sec (id, k, part), texts cut at the first secondary mark whose parts all fit."""
+    w = words("s")
+    return f"""marks(m, mark) AS (VALUES (1, '•'), (2, '; '), (3, ': '), (4, ' | '), (5, ' – '), (6, ' — ')),
+        pcs AS (SELECT id, m, list_filter(list_transform(string_split(s, mark), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM src JOIN marks ON contains(s, mark)),
+        shreds AS MATERIALIZED (SELECT id, m, n, p, {count_words('p')} AS w FROM (SELECT id, m, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM pcs WHERE len(ps) >= 2)),
+        heaps AS (SELECT id, m, n, p, w AS t, 0 AS g FROM shreds WHERE n = 0 UNION ALL
+            SELECT x.id, x.m, x.n, x.p, CASE WHEN k.t + x.w > {most} THEN x.w ELSE k.t + x.w END, CASE WHEN k.t + x.w > {most} THEN k.g + 1 ELSE k.g END FROM heaps k JOIN shreds x ON x.id = k.id AND x.m = k.m AND x.n = k.n + 1),
+        heaped AS (SELECT id, m, g, string_agg(p, ' ' ORDER BY n) AS part FROM heaps GROUP BY 1, 2, 3),
+        fit AS (SELECT id, min(m) AS m FROM (SELECT id, m FROM heaped GROUP BY 1, 2 HAVING max({count_words('part')}) <= {most}) GROUP BY 1),
+        wins AS (SELECT id, s, w, unnest(range(CASE WHEN len(w) <= {most} THEN 1 ELSE CAST(ceil(len(w) / {most}.0) AS BIGINT) END)) AS k FROM (SELECT id, s, {w} AS w FROM src ANTI JOIN fit USING (id))),
+        sec AS (SELECT id, g AS k, part FROM heaped JOIN fit USING (id, m) UNION ALL SELECT id, k, CASE WHEN len(w) <= {most} THEN s ELSE array_to_string(w[k * {most} + 1:(k + 1) * {most}], ' ') END FROM wins)"""
+
+
+def divided(most: int) -> str:
+    """CTEs: from whole (doc_id, text) to out_parts (doc_id, n, part), whole sentences packed and overlong ones cut. To be used
+    under WITH RECURSIVE."""
+    return f"""clean AS (SELECT doc_id, text FROM whole WHERE {count_words('text')} > {most}), {SENTENCES},
+        src AS (SELECT doc_id || '/' || n AS id, sentence AS s FROM sents WHERE {count_words('sentence')} > {most}), {secondary(most)},
+        units AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i, part, alone, {count_words('part')} AS w FROM (
+            SELECT doc_id, n, 0 AS k, sentence AS part, false AS alone FROM sents WHERE {count_words('sentence')} <= {most}
+            UNION ALL SELECT doc_id, n, k, part, true FROM sents JOIN sec ON id = doc_id || '/' || n)),
+        chain AS (SELECT doc_id, i, part, alone, w AS t, 0 AS g FROM units WHERE i = 1 UNION ALL
+            SELECT u.doc_id, u.i, u.part, u.alone, CASE WHEN c.alone OR u.alone OR c.t + u.w > {most} THEN u.w ELSE c.t + u.w END, CASE WHEN c.alone OR u.alone OR c.t + u.w > {most} THEN c.g + 1 ELSE c.g END
+            FROM chain c JOIN units u ON u.doc_id = c.doc_id AND u.i = c.i + 1),
+        out_parts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS n, part FROM (SELECT doc_id, g, {strip("string_agg(part, ' ' ORDER BY i)")} AS part FROM chain GROUP BY 1, 2) WHERE part <> ''
+            UNION ALL SELECT doc_id, 0, {strip('text')} FROM whole WHERE {count_words('text')} <= {most})"""
+
+
 def capped(most: int) -> str:
     w = words("sentence")
     return f"""capped AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS n, part FROM (
@@ -263,4 +292,51 @@ SQL: dict[str, str] = {
         SELECT doc_id, posicion, min(chunk_id) AS old_id FROM chunk_meta WHERE posicion IS NOT NULL GROUP BY 1, 2)""",
 }
 # the place of a fragment is called rank, as its old rank is in the ordering
+_numbered = "SELECT row_number() OVER () AS doc_id, chunk_id, texto AS text FROM texts"
+SQL["split_secondary"] = f"""WITH RECURSIVE {FOUND}, rows_ AS MATERIALIZED ({_numbered}), src AS (SELECT doc_id AS id, text AS s FROM rows_ WHERE text IS NOT NULL), {secondary(25)}
+    SELECT chunk_id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS n, part FROM sec JOIN rows_ ON doc_id = id
+    UNION ALL SELECT chunk_id, 0, NULL FROM rows_ WHERE text IS NULL"""
+SQL["split_output"] = f"""WITH RECURSIVE {FOUND}, rows_ AS MATERIALIZED ({_numbered}), whole AS (SELECT doc_id, text FROM rows_), {divided(40)}
+    SELECT chunk_id, CAST(n AS INTEGER) AS n, part FROM out_parts JOIN rows_ USING (doc_id)"""
+SQL["select_fragments_split"] = rf"""WITH RECURSIVE {FRAGMENTS}, one AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM frags QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY chunk_id, doc_id, text) = 1),
+    whole AS (SELECT i AS doc_id, text FROM one), {divided(25)},
+    parts AS (SELECT query_id, rank, chunk_id, one.doc_id, n, part AS text FROM one JOIN out_parts o ON o.doc_id = i WHERE part <> ''),
+    firsts AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY query_id, array_to_string({words('lower(text)')}, ' ') ORDER BY rank, n, chunk_id) = 1)
+    SELECT query_id, place AS rank, chunk_id, doc_id, text FROM (SELECT query_id, chunk_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY ({count_words('text')} < 8
+        OR NOT (regexp_matches(text, '^[\s\pZ]*[\p{{Lu}}\p{{Lt}}\p{{Nd}}¿¡"«“(\[•—]') AND regexp_matches(text, '[.!?"»”)\]…][\s\pZ]*$'))), rank, n, chunk_id) AS place FROM firsts) WHERE place <= 5"""
+_kept = f"""packed AS ({SQL['chunk_pack']}), ranked AS (SELECT *, max(length(texto)) OVER (PARTITION BY doc_id) AS most, row_number() OVER (PARTITION BY doc_id ORDER BY length(texto) DESC, posicion) AS r FROM packed),
+    kept AS (SELECT doc_id, posicion, texto, num_tokens FROM ranked WHERE length(texto) >= 40 OR (most < 40 AND r = 1))"""
+_uid = "printf('%s-chunk-%04d', CAST(doc_id AS VARCHAR), posicion) AS chunk_uid"
+SQL["build_index"] = f"WITH {_kept} SELECT *, CAST(row_number() OVER (ORDER BY doc_id, posicion) - 1 AS VARCHAR) AS chunk_id, {_uid} FROM kept"
+SQL["append_documents"] = f"""WITH {_kept}, span AS (SELECT epoch(max(ingested_at))::BIGINT - floor((floor(epoch(max(ingested_at))) - floor(epoch(min(ingested_at)))) / 10) AS since FROM documents),
+    late AS (SELECT doc_id, coalesce(floor(epoch(ingested_at)) >= since, false) AS late FROM documents, span)
+    SELECT doc_id, posicion, num_tokens, CAST(row_number() OVER (ORDER BY late, doc_id, posicion) - 1 AS VARCHAR) AS chunk_id, {_uid} FROM kept JOIN late USING (doc_id)"""
+SQL["sparse_store"] = SQL["postings_build"]
+SQL["graph_store"] = f"WITH {NODES} SELECT * FROM heavy"
+SQL["diverse_docs"] = """WITH hits AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, e.embedding, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 40),
+    m AS (SELECT query_id, label, dim, avg(x) AS x FROM (SELECT query_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) <= 5)) GROUP BY 1, 2, 3),
+    c AS (SELECT query_id, label, list(x ORDER BY dim) AS c FROM (SELECT query_id, label, dim, x / sqrt(sum(x * x) OVER (PARTITION BY query_id, label)) AS x FROM m) GROUP BY 1, 2),
+    firsts AS (SELECT query_id, label, max(score) AS score, min(rank) AS f FROM hits WHERE rank <= 30 GROUP BY 1, 2),
+    pool AS (SELECT query_id, label, rank, c FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, label) AS rank FROM firsts) JOIN c USING (query_id, label) WHERE rank <= 18),
+    near AS (SELECT a.query_id, a.rank AS a, b.rank AS b FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.rank < b.rank WHERE list_dot_product(a.c, b.c) >= 0.3),
+    second AS (SELECT query_id, min(rank) AS rank FROM pool ANTI JOIN (SELECT query_id, b AS rank FROM near WHERE a = 1) USING (query_id, rank) WHERE rank > 1 GROUP BY 1),
+    third AS (SELECT p.query_id, min(p.rank) AS rank FROM pool p JOIN second s ON p.query_id = s.query_id AND p.rank > s.rank WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.query_id = p.query_id AND n.b = p.rank AND n.a IN (1, s.rank)) GROUP BY 1),
+    chosen AS (SELECT query_id, 1 AS rank FROM pool WHERE rank = 1 UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third)
+    SELECT query_id, place AS rank, label FROM (SELECT p.query_id, p.label, row_number() OVER (PARTITION BY p.query_id ORDER BY h.rank IS NULL, p.rank) AS place FROM pool p LEFT JOIN chosen h ON h.query_id = p.query_id AND h.rank = p.rank) WHERE place <= 3"""
+SQL["validate_results"] = f"""WITH {CITED}, d AS (SELECT query_id, count(*) AS nd FROM cited JOIN paths USING (doc_id) WHERE fenomeno <> 0 GROUP BY 1),
+    f AS (SELECT query_id, count(*) AS nf, max({count_words('text')}) AS w, bool_or(rank IS NULL OR chunk_id IS NULL OR doc_id IS NULL OR text IS NULL) AS broken FROM frags WHERE {count_words('text')} >= 30 GROUP BY 1), j AS (SELECT * FROM d FULL JOIN f USING (query_id))
+    SELECT query_id, 'documents: ' || coalesce(nd, 0) AS error FROM j WHERE coalesce(nd, 0) <> 3 UNION ALL SELECT query_id, 'fragments: ' || coalesce(nf, 0) FROM j WHERE coalesce(nf, 0) <> 10
+    UNION ALL SELECT query_id, 'incomplete fragment' FROM j WHERE broken UNION ALL SELECT query_id, 'fragment too long' FROM j WHERE w > 250"""
+SQL["orphan_docs"] = f"WITH {CITED} SELECT DISTINCT doc_id FROM cited ANTI JOIN chunk_meta USING (doc_id) UNION ALL SELECT DISTINCT doc_id FROM chunk_meta ANTI JOIN paths USING (doc_id) WHERE doc_id IS NOT NULL"
+SQL["qa_mono_source"] = f"WITH {CITED}, listed AS (SELECT query_id, fuente FROM cited LEFT JOIN paths USING (doc_id) UNION ALL SELECT query, fuente FROM manifest WHERE rank_en_query <= 10) SELECT query_id FROM listed GROUP BY 1 HAVING count(DISTINCT coalesce(nullif(split_part(fuente, '/', 2), ''), '?')) = 1"
+_fields = ("doc_id", "chunk_id", "fuente", "formato", "fenomeno", "posicion", "texto")
+SQL["package_check"] = f"""WITH {CITED}, {MENTIONS}, ids AS (SELECT DISTINCT chunk_id FROM chunk_meta WHERE chunk_id IS NOT NULL), v AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id FROM embeddings),
+    problems AS (SELECT 'chunks with a missing field' AS problem, count(*) AS n FROM chunk_meta WHERE {' OR '.join(f"{c} IS NULL OR trim(CAST({'substr(texto, 1, 1)' if c == 'texto' else c} AS VARCHAR)) = ''" for c in _fields)}
+    UNION ALL SELECT 'chunks of unknown category', count(*) FROM chunk_meta WHERE fenomeno NOT IN (1, 2, 3) UNION ALL SELECT 'formats not in lower case', count(*) FROM chunk_meta WHERE formato <> lower(formato)
+    UNION ALL SELECT 'chunk ids not ordinal', count(*) FROM ids WHERE coalesce(TRY_CAST(chunk_id AS BIGINT) NOT BETWEEN 0 AND (SELECT count(*) - 1 FROM ids) OR CAST(TRY_CAST(chunk_id AS BIGINT) AS VARCHAR) <> chunk_id, true)
+    UNION ALL SELECT 'chunks without vector', count(*) FROM ids ANTI JOIN v USING (chunk_id) UNION ALL SELECT 'vectors without chunk', count(*) FROM v ANTI JOIN ids USING (chunk_id)
+    UNION ALL SELECT 'chunks of unknown documents', count(*) FROM (SELECT DISTINCT doc_id FROM chunk_meta) ANTI JOIN paths USING (doc_id) UNION ALL SELECT 'queries without result', count(*) FROM eval_queries ANTI JOIN cited USING (query_id)
+    UNION ALL SELECT 'results of unknown queries', count(*) FROM (SELECT DISTINCT query_id FROM cited) ANTI JOIN eval_queries USING (query_id) UNION ALL SELECT 'cited documents without chunks', count(*) FROM (SELECT DISTINCT doc_id FROM cited) ANTI JOIN chunk_meta USING (doc_id)
+    UNION ALL SELECT 'graphs without edges', CAST(count(*) = 0 AS BIGINT) FROM edges WHERE peso >= 2) SELECT * FROM problems WHERE n > 0"""
 SQL["select_fragments"] = "SELECT query_id, rank_ AS rank, chunk_id, doc_id, text FROM (" + SQL["select_fragments"] + ")"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quill.functions import text as T
 from quill.operators import approximate as A, evaluation as E, graph as G, ranking as R, segmenting as S
-from quill.plans import pipeline
+from quill.plans import pipeline, store
 from quill.plans.oracles import SQL
 from quill.session import read_table, shared_folder, written
 from quill.sources import files, stores
@@ -329,6 +329,13 @@ def diverse_docs(s, d):
     return R.diverse(pool_.join(middle, ["query_id", "label"]), "label", 3, 0.3)
 
 
+@query
+def select_fragments_split(s, d):
+    """The same with fragments of at most 25 words, so that most texts are divided."""
+    one = E.best_of(fragments(s, d), ["query_id", "rank"], [F.asc("chunk_id"), F.asc("doc_id"), F.asc("text")])
+    return R.fragments_of(one.select("query_id", "rank", "chunk_id", "doc_id", "text"), 5, 25, 8)
+
+
 @query
 def select_fragments(s, d):
     one = E.best_of(fragments(s, d), ["query_id", "rank"], [F.asc("chunk_id"), F.asc("doc_id"), F.asc("text")])
@@ -348,6 +355,37 @@ def build_index(s, d):
     return pipeline.build_chunks(docs(s, d), pipeline.Options(max_tokens=64))
 
 
+def _late(s, d):
+    """Documents, and whether they came in during the last tenth of the time."""
+    span = docs(s, d).agg(F.min("ingested_at").alias("a"), F.max("ingested_at").alias("b")).select((F.unix_timestamp("b") - F.floor((F.unix_timestamp("b") - F.unix_timestamp("a")) / 10)).alias("from"))
+    one = F.lit(1).alias("_k")
+    return docs(s, d).withColumn("_k", one).join(F.broadcast(span.withColumn("_k", one)), "_k").select("doc_id", "text", F.coalesce(F.unix_timestamp("ingested_at") >= F.col("from"), F.lit(False)).alias("late"))
+
+
+@query
+def append_documents(s, d):
+    """An index of the documents but the late ones, to which these are appended."""
+    folder, options = f"{shared_folder(s)}/index-{uuid.uuid4().hex}", pipeline.Options(max_tokens=64, dimensions=16, use_graph=False)
+    every = _late(s, d)
+    store.build(every.filter("NOT late"), folder, options)
+    store.append_documents(every, folder, options)
+    return s.read.parquet(f"{folder}/chunks").select("doc_id", "posicion", "num_tokens", "chunk_id", "chunk_uid")
+
+
+@query
+def sparse_store(s, d):
+    path = f"{shared_folder(s)}/postings-{uuid.uuid4().hex}"
+    stores.save_postings(R.postings(texts(s, d)), path)
+    return stores.load_postings(s, path)
+
+
+@query
+def graph_store(s, d):
+    path = f"{shared_folder(s)}/graph-{uuid.uuid4().hex}"
+    stores.save_graph(*graph_tables(s, d), path)
+    return stores.load_graph(s, path)[1]
+
+
 # graph
 
 
@@ -447,6 +485,53 @@ def sweep(s, d):
     return E.borda_leaderboard(f1, mean, "variant", "f1", "score")
 
 
+def _scored(ranked, s, d, item):
+    """(variant, f1, ndcg): means over the queries of documents ranked by a variant; ``ranked``: (variant, query_id, rank, item)
+    with the items' paths in ``item``."""
+    rows = ranked.withColumn("k", F.concat_ws("\x1f", "variant", "query_id"))
+    of = rows.select("k", "variant", "query_id").distinct()
+    f1 = E.f1_at_3(rows.select("k", F.col(item).alias("item")), of.join(relevant(s, d), "query_id").select("k", "item"), "k")
+    marks = rows.join(grades(s, d).withColumnRenamed("fuente", item), ["query_id", item], "left").select("k", "rank", F.coalesce("grade", F.lit(0)).alias("grade"))
+    gain = E.ndcg(marks, of.join(pool(s, d), "query_id").select("k", "grade", "n"), 10, "k")
+    both = of.select("k", "variant").join(f1, "k", "left").join(gain, "k", "left")
+    return both.groupBy("variant").agg(F.round(F.avg(F.coalesce("f1", F.lit(0.0))), 5).alias("f1"), F.round(F.avg(F.coalesce("ndcg", F.lit(0.0))), 5).alias("ndcg"))
+
+
+@query
+def sweep_tokens(s, d):
+    """Leaderboard of nine configurations: chunks of 64, 96 and 128 tokens, each with three ways of aggregating them."""
+    clean, paths = clean_docs(s, d), docs(s, d).select(F.col("doc_id"), "fuente")
+    out = None
+    for most in (64, 96, 128):
+        chunks = S.numbered(written(S.chunks(clean, most=most), "chunks"))
+        hits = written(R.sparse_top(chunks, asked(s, d), 100).join(chunks.select("chunk_id", "doc_id"), "chunk_id"), "hits")
+        found = pipeline.variants(hits.select("query_id", "rank", "doc_id", "score"), ["max_pool", "sum", "weighted_mean"]).withColumn("variant", F.concat(F.lit(f"{most} "), "variant"))
+        out = found if out is None else out.unionByName(found)
+    scored = _scored(written(out.join(paths, "doc_id").select("variant", "query_id", "rank", "fuente"), "variants"), s, d, "fuente")
+    return E.borda_leaderboard(scored.select("variant", "ndcg"), scored.select("variant", "f1"), "variant", "ndcg", "f1")
+
+
+@query
+def compare_variants(s, d):
+    """Leaderboard of dense search with two encoders, lexical search and both fused, each with and without reranking."""
+    chunks = written(texts(s, d).filter("texto IS NOT NULL").select("chunk_id", "doc_id", "texto"), "chunks")
+    searches = {f"dense {n}": pipeline.Options(dimensions=n, use_graph=False, candidates=40) for n in (32, 256)}
+    ranked = {name: written(pipeline.rankings(chunks, asked(s, d), options), "ranked") for name, options in searches.items()}
+    lists = {name: r.filter("source = 0").select("query_id", "rank", "item", "score") for name, r in ranked.items()}
+    lists |= {"lexical": ranked["dense 256"].filter("source = 1").select("query_id", "rank", "item", "score"), "both": R.fuse(ranked["dense 256"], "rrf", [1.0, 1.0], sources=2)}
+    listed = None
+    for name, r in lists.items():
+        one = r.withColumn("variant", F.lit(name))
+        listed = one if listed is None else listed.unionByName(one)
+    full = written(listed.withColumnRenamed("item", "chunk_id").join(chunks, "chunk_id").join(asked(s, d).select("query_id", F.col("text").alias("query")), "query_id"), "listed")
+    again = R.rerank(full.select(F.concat_ws("\x1f", "variant", "query_id").alias("query_id"), "rank", F.struct("chunk_id", "doc_id").alias("item"), "query", F.col("texto").alias("text")), 40)
+    again = again.select(F.concat(F.split_part("query_id", F.lit("\x1f"), F.lit(1)), F.lit(" reranked")).alias("variant"), F.split_part("query_id", F.lit("\x1f"), F.lit(2)).alias("query_id"), "rank", "item.doc_id", "score")
+    every = full.select("variant", "query_id", "rank", "doc_id", "score").unionByName(again).withColumn("query_id", F.concat_ws("\x1f", "variant", "query_id"))
+    found = R.documents_of(every, "max_pool").select(F.split_part("query_id", F.lit("\x1f"), F.lit(1)).alias("variant"), F.split_part("query_id", F.lit("\x1f"), F.lit(2)).alias("query_id"), "rank", "doc_id")
+    scored = _scored(written(found.join(path_of(s, d), "doc_id").select("variant", "query_id", "rank", "fuente"), "variants"), s, d, "fuente")
+    return E.borda_leaderboard(scored.select("variant", "ndcg"), scored.select("variant", "f1"), "variant", "ndcg", "f1")
+
+
 # checks and reports
 
 
@@ -457,7 +542,9 @@ def validate_chunks(s, d):
 
 @query
 def validate_results(s, d):
-    return E.result_errors(pipeline.results(cited(s, d), fragments(s, d).withColumn("rank", F.col("rank").cast("bigint"))))
+    """Errors of results of which documents without category and fragments of fewer than 30 words have been taken out."""
+    known = cited(s, d).join(path_of(s, d).filter("fenomeno <> 0").select("doc_id"), "doc_id", "left_semi")
+    return E.result_errors(pipeline.results(known, fragments(s, d).filter(T.word_count("text") >= 30).withColumn("rank", F.col("rank").cast("bigint"))))
 
 
 @query
@@ -467,8 +554,19 @@ def validate_sequence(s, d):
 
 @query
 def orphan_docs(s, d):
-    """Cited documents that no chunk has."""
-    return cited(s, d).select("doc_id").distinct().join(chunk_rows(s, d, "doc_id"), "doc_id", "left_anti")
+    """Cited documents that no chunk has, and documents of chunks that the corpus doesn't have."""
+    chunks = chunk_rows(s, d, "doc_id")
+    cited_only = cited(s, d).select("doc_id").distinct().join(chunks, "doc_id", "left_anti")
+    return cited_only.unionByName(chunks.join(path_of(s, d).select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL"))
+
+
+@query
+def package_check(s, d):
+    """Problems of the tables taken as a package that is handed over; the vectors are those of the embeddings table."""
+    chunks = read_table(s, d, "chunk_meta").select("chunk_id", "doc_id", "fuente", "formato", "fenomeno", "posicion", F.col("texto").substr(1, 1).alias("texto"))
+    vectors = read_table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"))
+    mentions = written(mention_rows(s, d), "mentions")
+    return store.package_problems(chunks, path_of(s, d), vectors, asked(s, d), cited(s, d), G.pruned(G.simple_edges(mentions)))
 
 
 @query
@@ -484,7 +582,9 @@ def qa_omnipresent(s, d):
 
 @query
 def qa_mono_source(s, d):
-    both = cited(s, d).join(path_of(s, d), "doc_id", "left").withColumn("place", F.coalesce(F.nullif(F.split_part("fuente", F.lit("/"), F.lit(2)), F.lit("")), F.lit("?")))
+    """Queries, of the evaluation and of the manifest, whose first documents are all of one source."""
+    listed = read_table(s, d, "manifest").filter("rank_en_query <= 10").select(F.col("query").alias("query_id"), "fuente")
+    both = cited(s, d).join(path_of(s, d), "doc_id", "left").select("query_id", "fuente").unionByName(listed).withColumn("place", F.coalesce(F.nullif(F.split_part("fuente", F.lit("/"), F.lit(2)), F.lit("")), F.lit("?")))
     return both.groupBy("query_id").agg(F.countDistinct("place").alias("n")).filter("n = 1").select("query_id")
 
 

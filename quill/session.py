@@ -40,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(folder)
         return folder.rstrip("/")
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="quill-checkpoint-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -47,14 +49,38 @@ def shared_folder(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return bool(files.exists(where))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any store that Spark can write to."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 _written: list[str] = []
 
 
-@atexit.register
-def _drop_written() -> None:
-    """Removes the tables of this process, where the shared folder is mounted; elsewhere its owner's expiry rule does."""
-    for path in _written:
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def drop_written(spark: SparkSession | None = None) -> None:
+    """Removes the tables written by this process; to be called before the session is stopped where they lie in a remote store.
+    At the end of the process what is left is removed, in a mounted folder also without a session."""
+    spark = spark or SparkSession.getActiveSession()
+    while _written:
+        path = _written.pop()
+        try:
+            delete(spark, path)
+        except Exception:  # no session any more
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+atexit.register(drop_written)
 
 
 def cut(df: DataFrame) -> DataFrame:

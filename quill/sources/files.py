@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html as htmllib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,6 +15,8 @@ from pyspark.sql.types import StringType
 from quill.functions import text as T
 from quill.operators.joins import join_checked
 from quill.operators.ordinals import with_ordinal
+from quill.sources.tables import records, workbook_text
+from quill.sources.tiles import tile_text
 
 #: Logical format of each extension.
 FORMATS = {
@@ -75,17 +78,20 @@ def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return fit.join(order, "fuente").select("fuente", "formato", F.format_string("DOC-%05d", "i").alias("doc_id"), phenomenon("fuente").alias("fenomeno"))
 
 
-class _Harvest:
-    def __init__(self):
-        self.titles: list[str] = []
-        self.body: list[str] = []
-        self.seen: set[str] = set()
-
-    def add(self, value: str, title: bool) -> None:
-        value = value.strip()
-        if len(value) >= SHORTEST and not value.startswith(("http://", "https://", "data:")) and value not in self.seen:
-            self.seen.add(value)
-            (self.titles if title else self.body).append(value)
+def _leaves(data) -> Iterator[tuple[str | None, object]]:
+    """(key, value) of every text and number of a JSON value in order of the document; values of SKIPPED_KEYS and below DEPTH
+    are left out. Of a list's values the key is that of the list."""
+    ahead = [iter([(None, data)])]
+    while ahead:
+        key, value = next(ahead[-1], (None, ahead))
+        if value is ahead:
+            ahead.pop()
+        elif isinstance(value, (dict, list)):
+            if len(ahead) <= DEPTH:
+                inner = ((k.lower(), v) for k, v in value.items() if k.lower() not in SKIPPED_KEYS) if isinstance(value, dict) else zip(repeat(key), value)
+                ahead.append(iter(inner))
+        elif isinstance(value, (str, int, float)) and len(ahead) <= DEPTH + 1:
+            yield key, value
 
 
 def harvest_json(raw: str | None) -> str:
@@ -94,21 +100,12 @@ def harvest_json(raw: str | None) -> str:
         data = json.loads(raw) if raw else None
     except ValueError:
         return ""
-    out = _Harvest()
-    stack = [(data, None, 0)]
-    while stack:  # depth first, in order
-        value, key, depth = stack.pop()
-        if depth > DEPTH:
-            continue
-        if isinstance(value, dict):
-            stack += [(v, k.lower(), depth + 1) for k, v in reversed(value.items()) if k.lower() not in SKIPPED_KEYS]
-        elif isinstance(value, list):
-            stack += [(v, key, depth + 1) for v in reversed(value)]
-        elif isinstance(value, str):
-            out.add(value, key in TITLE_KEYS)
-        elif isinstance(value, (int, float)) and key:
-            out.add(f"{key}: {value}", False)
-    return "\n\n".join(out.titles + out.body)
+    first: dict[str, bool] = {}
+    for key, value in _leaves(data):
+        text = (value if isinstance(value, str) else f"{key}: {value}" if key else "").strip()
+        if len(text) >= SHORTEST and not text.startswith(("http://", "https://", "data:")):
+            first.setdefault(text, isinstance(value, str) and key in TITLE_KEYS)
+    return "\n\n".join(sorted(first, key=lambda t: not first[t]))
 
 
 def json_text(raw: str | Column) -> Column:
@@ -180,12 +177,14 @@ def lenient_utf8(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
-#: Readers by logical format: bytes of a file to its text. Others (pdf, image, xlsx, pbf) are plugged in by the caller.
+#: Readers by logical format: bytes of a file to its text. Others (pdf, image) are plugged in by the caller.
 READERS: dict[str, Callable[[bytes], str]] = {
     "md": lambda b: b.decode("utf-8", "ignore"),
     "json": lambda b: harvest_json(b.decode("utf-8", "ignore")),
     "html": lambda b: page_text(b.decode("utf-8", "ignore")),
     "csv": lambda b: csv_text(b.decode("utf-8", "ignore")),
+    "xlsx": workbook_text,
+    "pbf": tile_text,
 }
 
 
@@ -202,9 +201,7 @@ def csv_text(raw: str) -> str:
             pass
     if not rows:
         return ""
-    head = rows[0]
-    lines = (" | ".join(f"{h}: {v.strip()}" for h, v in zip(head, r) if v.strip() and v.strip().lower() != "nan") for r in rows[1:] if len(r) <= len(head))
-    return "\n".join(line for line in lines if line)
+    return records(rows[0], rows[1:])
 
 
 def extract(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
