@@ -24,17 +24,19 @@ Groups of more than WITHIN equal texts are listed as pairs with their first reco
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quill.operators.joins import join_checked, join_hot
 from quill.session import cut, written
 
 GRAM = 5
 THRESHOLD = 0.7
-PASSES, BINS = 2, 64
+BINS = 128
 BANDS, ROWS = 12, 3
 BUDGET = 31
 WITHIN = 64
@@ -44,19 +46,23 @@ FLUSH = 40_000
 #: Records of a bucket from which it is cut into blocks, whose pairs become tasks of their own.
 HOT = 4096
 #: Bytes of records that a task is to hold, and the share of the records by which very frequent keys are found.
-PART_BYTES, SHARE = 64 << 20, 64
+PART_BYTES, SHARE = 32 << 20, 64
 #: 5-grams up to which a text enters by the prefix filter, and the error budget there.
 FEW, FEW_BUDGET = 57, 56
-#: 5-grams of texts held for comparison before a task starts afresh.
-HELD = 1_000_000
+#: Pairs of texts compared at once.
+COMPARED = 2000
 RECORD = np.dtype([("key", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("a", "<u8"), ("b", "<u8")])
 _EMPTY = np.uint32(0xFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(text: Column) -> Column:
+def normal(text: str) -> str:
     """Lower case, white space collapsed to single spaces and trimmed."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+", " "))
+    return " ".join(text.lower().split())
+
+
+def content_id(tab: str | None, text: str) -> bytes:
+    return hashlib.blake2b(f"{tab}\x1f{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def minima(texts: list[str]) -> np.ndarray:
-    """(texts, PASSES * BINS) minima of each normal text's 5-grams; every text has at least one gram."""
+    """(texts, BINS) minima of each normal text's 5-grams; every text has at least one gram."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     n = len(points) - GRAM + 1
@@ -83,22 +89,19 @@ def minima(texts: list[str]) -> np.ndarray:
         at = np.cumsum(sizes)[:-1] - e
         inside[at[at < n]] = False
     h, owner = h[inside], owner[inside]
-    out = []
-    for p in range(PASSES):
-        x = _mix(h ^ np.uint32(0x5BD1E995 * (p + 1) & 0xFFFFFFFF))
-        best = np.full(len(texts) * BINS, _EMPTY, np.uint32)
-        np.minimum.at(best, owner * BINS + (x >> np.uint32(26)), x << np.uint32(6))
-        best = best.reshape(len(texts), BINS)
-        empty = best == _EMPTY
-        if empty.any():  # fill from the next bin that has a gram, marked by the distance
-            index = np.where(empty, BINS * 2, np.arange(BINS))
-            index = np.concatenate((index, np.where(empty, BINS * 2, np.arange(BINS) + BINS)), 1)
-            nearest = np.minimum.accumulate(index[:, ::-1], 1)[:, ::-1][:, :BINS]
-            rows = np.arange(len(texts))[:, None]
-            far = (nearest - np.arange(BINS)).astype(np.uint32)
-            best = best[rows, nearest % BINS] + far * np.uint32(0x9E3779B1)
-        out.append(best)
-    return np.concatenate(out, 1)
+    x = _mix(h)
+    best = np.full(len(texts) * BINS, _EMPTY, np.uint32)
+    np.minimum.at(best, owner * BINS + (x >> np.uint32(25)), x << np.uint32(7))
+    best = best.reshape(len(texts), BINS)
+    empty = best == _EMPTY
+    if empty.any():  # fill from the next bin that has a gram, marked by the distance
+        index = np.where(empty, BINS * 2, np.arange(BINS))
+        index = np.concatenate((index, np.where(empty, BINS * 2, np.arange(BINS) + BINS)), 1)
+        nearest = np.minimum.accumulate(index[:, ::-1], 1)[:, ::-1][:, :BINS]
+        rows = np.arange(len(texts))[:, None]
+        far = (nearest - np.arange(BINS)).astype(np.uint32)
+        best = best[rows, nearest % BINS] + far * np.uint32(0x9E3779B1)
+    return best
 
 
 def sketches(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     for b in range(BANDS):
         x = np.full(len(m), 0xCBF29CE484222325 + b * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
         for r in range(ROWS):
-            x = (x ^ m[:, (b + r * BANDS) * 3 % (PASSES * BINS)].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+            x = (x ^ m[:, (b + r * BANDS) * 3 % BINS].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
             x ^= x >> np.uint64(32)
         keys[:, b] = x
     return keys
@@ -143,7 +146,7 @@ def trie_join(records: np.ndarray, roots: tuple[np.ndarray, ...], budget: int =
     ranges (from, to, from, to) of nodes at the top of the sketch; a node paired with itself has its pairs once. Levels are
     taken eight bits at a time, from the top bits down.
     """
-    a, b, hi, lo = records["a"], records["b"], records["hi"], records["lo"]
+    a, b, hi, lo = (np.ascontiguousarray(records[x]) for x in ("a", "b", "hi", "lo"))
     stack = [(0, *roots, np.zeros(len(roots[0]), np.int64))]
     while stack:
         level, lo1, hi1, lo2, hi2, spent = stack.pop()
@@ -153,27 +156,25 @@ def trie_join(records: np.ndarray, roots: tuple[np.ndarray, ...], budget: int =
             continue
         product = (hi1 - lo1) * (hi2 - lo2)
         small = (product <= LEAF) | (level == 16)
-        at = np.flatnonzero(small)
-        while len(at):  # pairs of records below small pairs of nodes, in chunks
-            total = np.cumsum(product[at])
-            part = max(1, int(np.searchsorted(total, CHUNK, "right")))
-            now, at = at[:part], at[part:]
-            n1, n2 = (hi1 - lo1)[now], (hi2 - lo2)[now]
-            for first in range(0, int(n1[0]) if part == 1 else 1, max(1, CHUNK // int(n2[0])) if part == 1 else 1):
-                m1 = np.minimum(n1 - first, max(1, CHUNK // int(n2[0]))) if part == 1 else n1
-                count = m1 * n2
-                node = np.repeat(np.arange(len(now)), count)
-                k = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
-                i = lo1[now][node] + first + k // n2[node]
-                j = lo2[now][node] + k % n2[node]
-                keep = i < j
-                i, j = i[keep], j[keep]
-                differ = np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j])
-                near = differ <= budget
-                i, j = i[near], j[near]
-                other = (lo[i] != lo[j]) | (hi[i] != hi[j])
-                if other.any():
-                    yield i[other], j[other]
+        if small.any():  # records below small pairs of nodes: each with those of the other node, or after it in its own
+            n1 = (hi1 - lo1)[small]
+            r = np.repeat(lo1[small] - (np.cumsum(n1) - n1), n1) + np.arange(n1.sum())
+            begin = np.where(np.repeat((lo1 == lo2)[small], n1), r + 1, np.repeat(lo2[small], n1))
+            count = np.repeat(hi2[small], n1) - begin
+            total = np.cumsum(count)
+            first = 0
+            while first < len(r):  # in chunks
+                to = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + CHUNK, "right")))
+                own, n = r[first:to], count[first:to]
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[first:to], n)
+                differ = np.bitwise_count(np.repeat(a[own], n) ^ a[j]) + np.bitwise_count(np.repeat(b[own], n) ^ b[j])
+                near = np.flatnonzero(differ <= budget)
+                if len(near):
+                    i, j = np.repeat(own, n)[near], j[near]
+                    other = (lo[i] != lo[j]) | (hi[i] != hi[j])
+                    if other.any():
+                        yield i[other], j[other]
+                first = to
         large = np.flatnonzero(~small)
         for x in large.tolist():  # children of both nodes, paired; few nodes are large
             word, shift = (a, 56 - 8 * level) if level < 8 else (b, 120 - 8 * level)
@@ -195,15 +196,67 @@ def trie_join(records: np.ndarray, roots: tuple[np.ndarray, ...], budget: int =
                 stack.append((level + 1, s1[c1], e1[c1], s2[c2], e2[c2], now_spent[keep]))
 
 
-def jaccard(a: frozenset, b: frozenset) -> float:
-    common = len(a & b)
-    return common / (len(a) + len(b) - common)
+def gram_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct 5-grams of each text as numbers: five code points of 12 bits each, numbered within these texts. Texts
+    of more than 4,096 different code points have sets of their own kind: see alike."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    present = np.zeros(0x110000, bool)
+    present[points] = True
+    number = np.cumsum(present, dtype=np.uint64)
+    if number[-1] > 4096:
+        raise OverflowError
+    own = (number - np.uint64(1))[points]
+    n = max(0, len(own) - GRAM + 1)
+    codes = own[:n].copy()
+    for k in range(1, GRAM):
+        codes = codes << np.uint64(12) | own[k : n + k]
+    ends = np.cumsum([len(t) for t in texts])
+    out = []
+    for end, t in zip(ends.tolist(), texts):
+        part = np.sort(codes[end - len(t) : end - GRAM + 1])
+        out.append(part[np.concatenate(([True], part[1:] != part[:-1]))])
+    return out
+
+
+def alike(pairs: list[tuple[bytes, bytes]], texts: dict[bytes, str], threshold: float) -> list[bool]:
+    """Whether the 5-gram sets of each pair of texts have similarity ``threshold`` or more. A block of texts of too many
+    different code points is cut in two, at last to one pair, which is compared by sets of strings."""
+    own = list({c for p in pairs for c in p})
+    try:
+        grams = dict(zip(own, gram_sets([texts[c] for c in own])))
+    except OverflowError:
+        if len(pairs) > 1:
+            half = len(pairs) // 2
+            return alike(pairs[:half], texts, threshold) + alike(pairs[half:], texts, threshold)
+        a, b = ({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} for t in (texts[c] for c in pairs[0]))
+        return [len(a & b) >= threshold * len(a | b)]
+    out = []
+    for x, y in pairs:
+        a, b = grams[x], grams[y]
+        if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+            out.append(False)
+            continue
+        both = np.sort(np.concatenate((a, b)))
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        out.append(common / (len(a) + len(b) - common) >= threshold)
+    return out
+
+
+def _records(df: DataFrame) -> DataFrame:
+    """(tab, id, text) of texts that may have a gram."""
+    return df.select("tab", "id", "text").filter((F.length("text") >= GRAM) & F.col("id").isNotNull())
 
 
 def _content(df: DataFrame) -> DataFrame:
     """(tab, id, c binary, text): content id and normal text of records with at least one gram."""
-    rows = df.select("tab", "id", "text").filter((F.length("text") >= GRAM) & F.col("id").isNotNull()).select("tab", "id", normal(F.col("text")).alias("text"))
-    return rows.filter(F.length("text") >= GRAM).select("tab", "id", F.unhex(F.md5(F.concat(F.coalesce("tab", F.lit("")), F.lit("\x1f"), "text"))).alias("c"), "text")
+
+    def run(batches):
+        for batch in batches:
+            tabs, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(2).to_pylist()]
+            ids = pa.array([content_id(tab, t) if len(t) >= GRAM else None for tab, t in zip(tabs, texts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(texts, pa.string())], ["tab", "id", "c", "text"])
+
+    return _records(df).mapInArrow(run, "tab string, id string, c binary, text string").filter("c IS NOT NULL")
 
 
 def _rows_of(ids: list[bytes], texts: list[str], salts: list[str | None]) -> np.ndarray:
@@ -223,20 +276,23 @@ def _rows_of(ids: list[bytes], texts: list[str], salts: list[str | None]) -> np.
 
 
 def _distinct(batches, seen: set[bytes]):
-    """(ids, texts, tables) of the contents of the batches not seen before, a few thousand at a time."""
+    """(ids, texts, tables) of the contents of the batches of (tab, id, text) not seen before, some thousand at a time."""
     for batch in batches:
-        tabs, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+        tabs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for begin in range(0, len(texts), 4000):
-            fresh = []
-            for i in range(begin, min(begin + 4000, len(texts))):
-                if ids[i] not in seen:
-                    seen.add(ids[i])
-                    fresh.append(i)
+            ids, fresh, own = [], [], []
+            for tab, t in zip(tabs[begin : begin + 4000], texts[begin : begin + 4000]):
+                t = normal(t)
+                if len(t) >= GRAM and (c := content_id(tab, t)) not in seen:
+                    seen.add(c)
+                    ids.append(c)
+                    fresh.append(t)
+                    own.append(tab)
             if fresh:
-                yield [ids[i] for i in fresh], [texts[i] for i in fresh], [tabs[i] for i in fresh]
+                yield ids, fresh, own
 
 
-def _frequent(content: DataFrame, share: int = SHARE) -> dict[int, int]:
+def _frequent(df: DataFrame, share: int = SHARE) -> dict[int, int]:
     """Keys of very many records and the groups each is cut into, judged by one in ``share`` records. Only the cutting
     depends on it. A key in it has a PART_BYTES of records, so there are fewer of them than tasks."""
     most = PART_BYTES // RECORD.itemsize
@@ -246,7 +302,7 @@ def _frequent(content: DataFrame, share: int = SHARE) -> dict[int, int]:
             k, n = np.unique(_rows_of(ids, texts, tabs)["key"], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    sample = content.filter(F.pmod(F.xxhash64("c"), F.lit(share)) == 0).select("tab", "c", "text")
+    sample = _records(df).filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     counts = sample.mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg((F.sum("n") * share).alias("n")).filter(F.col("n") > most)
     return {r.key & 0xFFFFFFFFFFFFFFFF: -(-r.n // most) for r in counts.collect()}
 
@@ -280,15 +336,14 @@ def _pair(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
 
 
 def parts_of(spark, records: int) -> int:
-    """Parts into which the records are cut: as many as hold PART_BYTES each, but at least as many as the shuffle has."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-records * (BANDS + 1) * RECORD.itemsize // PART_BYTES))
+    """Parts into which the records are cut: as many as hold PART_BYTES each, but at least a few for each of the shuffle's."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-records * (BANDS + 1) * RECORD.itemsize // PART_BYTES))
 
 
 def candidates(df: DataFrame) -> DataFrame:
     """(a binary, b binary), distinct: content ids of different texts that the trie join finds."""
-    content = _content(df)
     parts = parts_of(df.sparkSession, df.count())
-    groups = _frequent(content)
+    groups = _frequent(df)
 
     def pack(batches):
         held: list[np.ndarray] = []
@@ -297,6 +352,7 @@ def candidates(df: DataFrame) -> DataFrame:
         def flush():
             rows = np.concatenate(held)
             target = ((rows["key"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            target = target.astype(np.uint16 if parts < 1 << 16 else np.uint32)
             order = np.argsort(target, kind="stable")
             rows, target = rows[order], target[order]
             own = np.unique(target)
@@ -329,6 +385,13 @@ def candidates(df: DataFrame) -> DataFrame:
             return
         rows = np.frombuffer(b"".join(blobs), RECORD)
         blobs.clear()
+        # most keys are single; only the others need the order of the trie
+        order = np.argsort(keys := np.ascontiguousarray(rows["key"]))
+        keys = keys[order]
+        same = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
+        rows = rows[order[same[1:] | same[:-1]]]
+        if not len(rows):
+            return
         rows = rows[np.lexsort((rows["b"], rows["a"], rows["key"]))]
         if len(rows) > 1:  # copies of a text enter a bucket once
             same = (rows["key"][1:] == rows["key"][:-1]) & (rows["lo"][1:] == rows["lo"][:-1]) & (rows["hi"][1:] == rows["hi"][:-1])
@@ -357,39 +420,34 @@ def candidates(df: DataFrame) -> DataFrame:
                 for i, j in trie_join(rows, tuple(np.array([v]) for v in (0, len(x), first, len(rows))), budget):
                     yield pa.RecordBatch.from_arrays(_pair(rows, i, j), ["a", "b"])
 
-    packed = content.select("tab", "c", "text").mapInArrow(pack, "part int, rows binary")
+    packed = _records(df).mapInArrow(pack, "part int, rows binary")
     joined = written(packed.repartition(parts, "part").mapInArrow(join, "a binary, b binary, left binary, right binary"), "joined")
-    split = joined.filter("left IS NOT NULL").select("left", "right").repartition(parts).mapInArrow(blocks, "a binary, b binary")
-    return joined.filter("left IS NULL").select("a", "b").unionByName(split).distinct()
+    found, cut_up = joined.filter("left IS NULL").select("a", "b"), joined.filter("left IS NOT NULL").select("left", "right")
+    if cut_up.head(1):
+        found = found.unionByName(cut_up.repartition(parts).mapInArrow(blocks, "a binary, b binary"))
+    return found.distinct()
 
 
 def similar_texts(df: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of content ids of similarity ``threshold`` or more, and members (tab, id, c) of all content."""
     found = written(candidates(df), "candidates")
     needed = cut(found.select(F.col("a").alias("c")).unionByName(found.select(F.col("b").alias("c"))).distinct())
-    texts = written(join_checked(_content(df).select("c", "text"), needed, ["c"], "left_semi").groupBy("c").agg(F.first("text").alias("text")), "texts")
+    known = join_checked(_content(df), needed.withColumn("near", F.lit(True)), ["c"], "left")
+    content = written(known.select("tab", "id", "c", F.when(F.col("near"), F.col("text")).alias("text")), "content")
+    texts = written(content.filter("text IS NOT NULL").groupBy("c").agg(F.first("text").alias("text")), "texts")
 
     def verify(batches):
-        grams: dict[bytes, frozenset] = {}
-        held = 0
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            s, t = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for x, y, s_, t_ in zip(a, b, s, t):
-                for c, text in ((x, s_), (y, t_)):
-                    if c not in grams:
-                        if held > HELD:
-                            grams, held = {k: v for k, v in grams.items() if k in (x, y)}, 0
-                        grams[c] = frozenset([text[i : i + GRAM] for i in range(len(text) - GRAM + 1)])
-                        held += len(grams[c])
-                keep.append(jaccard(grams[x], grams[y]) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, COMPARED):
+                part = batch.slice(i, COMPARED)
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                own = dict(zip(a, part.column(2).to_pylist())) | dict(zip(b, part.column(3).to_pylist()))
+                yield part.select(["a", "b"]).filter(pa.array(alike(list(zip(a, b)), own, threshold), pa.bool_()))
 
     one = join_hot(found, texts.select(F.col("c").alias("a"), F.col("text").alias("s")), ["a"])
     both = join_hot(one, texts.select(F.col("c").alias("b"), F.col("text").alias("t")), ["b"])
     pairs = written(both.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary"), "pairs")
-    members = written(_content(df).groupBy("tab", "id").agg(F.min("c").alias("c")), "members")
+    members = written(content.groupBy("tab", "id").agg(F.min("c").alias("c")), "members")
     return pairs, members
 
 

@@ -360,6 +360,15 @@ def test_frequent_keys_are_cut_into_groups_and_lose_nothing(spark, monkeypatch):
     assert whole == cut_up == brute(rows)
 
 
+def test_comparison_is_exact_for_any_alphabet():
+    rng = random.Random(6)
+    texts = {bytes([i]): "".join(chr(rng.randrange(0x4E00, 0x4E00 + 20 + 3000 * (i % 3))) for _ in range(5 + i * 40)) for i in range(40)}
+    texts |= {bytes([100 + i]): t[: len(t) - i] + "x" * (i % 4) for i, t in enumerate(texts.values()) if len(t) - i > 5}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    want = [len(x & y) >= 0.7 * len(x | y) for x, y in (tuple({texts[c][i : i + 5] for i in range(len(texts[c]) - 4)} for c in p) for p in pairs)]
+    assert near_duplicates.alike(pairs, texts, 0.7) == want and sum(want) > 20
+
+
 def test_parts_grow_with_the_records(spark):
     few, many = near_duplicates.parts_of(spark, 10**7), near_duplicates.parts_of(spark, 10**8)
     assert many >= 9 * few > 36 * int(spark.conf.get("spark.sql.shuffle.partitions"))
