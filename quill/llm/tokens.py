@@ -6,9 +6,12 @@ empty list of ids and size 0; special tokens' strings are ordinary text.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quill.llm.bpe import encoder, vocabulary_path
 
@@ -16,12 +19,20 @@ from quill.llm.bpe import encoder, vocabulary_path
 STEP = 2000
 
 
+def shipped(spark: SparkSession, path: str):
+    """Sends the vocabulary file to all machines; the function gives the encoder there."""
+    name = os.path.basename(path)
+    if not any(f.rpartition("/")[2] == name for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return lambda: encoder(SparkFiles.get(name))
+
+
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """(key, ids array<int>): one row for each row of df."""
-    path, kind = vocabulary_path(folder), df.schema[key].dataType.simpleString()
+    own_encoder, kind = shipped(df.sparkSession, vocabulary_path(folder)), df.schema[key].dataType.simpleString()
 
     def run(batches):
-        own = encoder(path)
+        own = own_encoder()
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
                 part = batch.slice(i, STEP)
@@ -33,10 +44,10 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: st
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """(key, size bigint): tokens of each text."""
-    path, kind = vocabulary_path(folder), df.schema[key].dataType.simpleString()
+    own_encoder, kind = shipped(df.sparkSession, vocabulary_path(folder)), df.schema[key].dataType.simpleString()
 
     def run(batches):
-        own = encoder(path)
+        own = own_encoder()
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
                 part = batch.slice(i, STEP)

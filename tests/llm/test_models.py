@@ -378,7 +378,8 @@ def test_every_query_runs(spark, folder):
     from quill.llm import queries
 
     for name, f in queries.queries().items():
-        assert f(spark, folder).count() >= 0, name
+        rows = f(spark, folder)
+        assert rows.count() > 0 or name == "p10_found", name
 
 
 def test_every_query_on_empty_tables(spark, empty_folder):
