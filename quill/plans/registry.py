@@ -238,7 +238,7 @@ def dense_topk(s, d):
 def dense_topk_cells(s, d):
     """Approximate search; tests hold its recall against dense_topk."""
     v = read_table(s, d, "embeddings")
-    fitted = A.centres(v)
+    fitted = A.fit(v)
     return A.approximate_top(A.index(v, fitted), fitted, v.filter("vec_id % 20 = 0"), 10)
 
 

@@ -208,6 +208,27 @@ def test_approximate_search_recall(spark, folder):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_approximate_search_of_clustered_vectors_looks_into_few_cells(spark, folder):
+    import numpy as np
+
+    from quill.operators import approximate as A
+    from quill.plans import registry
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    fitted = A.fit(df)
+    assert len(fitted.centres) == 54 and fitted.probes <= 12
+    asked = df.filter("vec_id % 20 = 0")
+    exact = {(r.query_id, r.vec_id) for r in R.dense_top(df, asked, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in A.approximate_top(A.index(df, fitted), fitted, asked, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    large = folder.replace("sf0.001", "sf0.1")
+    exact = {(r.query_id, r.vec_id) for r in registry.dense_topk(spark, large).collect()}
+    found = {(r.query_id, r.vec_id) for r in registry.dense_topk_cells(spark, large).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_clean_pages(spark):
     df = spark.createDataFrame([(1, ["one con-", "tinued page", "HEAD"]), (2, None)], "i int, pages array<string>")
     assert {r.i: r.text for r in T.cleaned_pages(df, "pages").collect()} == {1: "one continued page HEAD", 2: None}

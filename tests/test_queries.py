@@ -33,7 +33,9 @@ def test_query(spark, con, folder, name):
     df = registry.queries()[name](spark, folder)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    if name not in registry.oracle_sql():
+    assert got or name in {"boilerplate_lines", "noise_lines", "validate_sequence", "scans_to_read", "qa_coherence", "append_missing"}, "no rows to compare"
+    if name not in registry.oracle_sql():  # operators have tests of their own; here the rows are whole
+        assert all(len(r) == len(columns) for r in got) and len(set(got)) == len(got)
         return
     rel = con.sql(registry.oracle_sql()[name])
     assert sorted(rel.columns) == columns
