@@ -42,7 +42,7 @@ def load_postings(spark: SparkSession, path: str, tokens: list[str] | None = Non
     """Postings of the store, or of some tokens; None where there is no store."""
     if not exists(spark, path):
         return None
-    table = spark.read.parquet(path)
+    table = spark.read.schema("token string, chunk_id string, tf bigint, bucket int").parquet(path)
     if tokens is not None:
         wanted = spark.createDataFrame([(t,) for t in tokens], "token string")
         numbers = [r[0] for r in wanted.select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).distinct().collect()]
