@@ -9,11 +9,13 @@ knows of the word before and after the edit is one of its features. Lines are re
 keeps everything.
 
 Candidates: every single confusion, every two that don't overlap, and, where a sign stands in a word, every letter of
-the alphabet around it; words that need more edits are not repaired.
+the script around it, however many it has: the place is left blank and met with the words of the lexicon blanked at the
+same places. Words that need more edits are not repaired.
 
 Scale: one Python pass over the documents yields flagged lines, line ends, the words of the other documents (added up
 within the partition) and the doubtful words of scanned ones. Lexicon, doubtful words and candidates meet in shuffled
-joins; nothing of corpus size is broadcast. The editor is trained on at most SAMPLE_WORDS words of the lexicon.
+joins; nothing of corpus size is broadcast. Words of the lexicon are blanked only at places that a candidate of their
+length asks for. The editor is trained on at most SAMPLE_WORDS words of the lexicon.
 
 Defined results: null and empty texts, and texts not from scanned pages, have no findings and come out unchanged.
 """
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from quill.llm.markup import language
 from quill.llm.visual import FOLD
+from quill.operators.joins import join_checked
 from quill.session import cut, written
 
 SAMPLE_WORDS = 4000
-#: Words that a task keeps in plain form before it starts afresh, and letters that an alphabet has at most.
-MEMO, ALPHABET = 500_000, 200
+#: Words that a task keeps in plain form before it starts afresh.
+MEMO = 500_000
 EPOCHS = 3
 #: Documents in which a word must stand to be proposed as a repair; one is enough to be no misreading.
 REPAIR_FROM = 2
@@ -60,6 +63,7 @@ _ends_in_hyphen = re.compile(rf"[^\W\d_][{HYPHEN}]\s*\Z")
 _signs = re.compile(r"[0-9@!|†$€£#*=<>{}~^]")
 _finished = re.compile(r"[.!?:;…。！？।؟][\"”»“’)\]]*\Z")
 _odd = re.compile(r"(?<=[^\W\d_])[0-9@!|†$€£#*=<>{}~^](?=[^\W\d_])|(?<!\S)[\"“«(¿¡]*[0-9@|†$€£](?=[^\W\d_]{3})|(?<=[^\W\d_]{3})[0-9@|†€£](?=[\s.,;:?!)\"”»]|\Z)")
+_of_words = re.compile(r"[^\W\d_]|[\u0307-]")
 _web = re.compile(r"www|://|\.example|[/\\]|@[\w.]+\.\w")
 _roman = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\Z", re.I)
 _numbers = {
@@ -292,8 +296,8 @@ def operations(read: str, printed: str) -> list[str]:
 
 
 EDITS = [(read, printed, operations(read, printed)) for read, printed in CONFUSIONS]
-#: The operation on a sign that stands for some letter.
-UNREADABLE = "r?"
+#: The operation on a sign that stands for some letter, and what stands for the letter (a character that no word holds).
+UNREADABLE, BLANK = "r?", "\ufdd0"
 
 
 def level(n: int) -> str:
@@ -433,22 +437,30 @@ class Editor:
 
     # candidates
 
-    def candidates(self, word: str, alphabet: list[str] = ()) -> list[tuple[str, int, float]]:
-        """(fix, ease, score) of every edit and every two that don't overlap; a sign may be any letter of the alphabet.
-        One confusion is easier than a letter guessed, and that easier than two edits."""
+    def candidates(self, word: str) -> list[tuple[str, int, float]]:
+        """(fix, ease, score) of every edit and every two that don't overlap, with BLANK where a sign may be any letter; a
+        fix in which a sign is left is none, as no word holds one. One confusion is easier than a letter guessed, and that
+        easier than two edits."""
+        signs = [] if word.isalpha() else [i for i, c in enumerate(word) if not _of_words.match(c)]
+        if len(signs) > 2:  # an edit mends one sign
+            return []
         cache: dict[int, list[str]] = {}
         one = []
         for e in self.edits(word):
             s = self.score(self.features_of(word, e, cache))
-            one += [(e[0], e[1], c, 2 if e[2] == "?" else 3, s) for c in (alphabet if e[2] == "?" else (e[2],))]
+            mended = sum(e[0] <= i < e[0] + len(e[1]) for i in signs)
+            one.append((e[0], e[1], BLANK if e[2] == "?" else e[2], 2 if e[2] == "?" else 3, s, mended))
         out: dict[str, tuple[int, float]] = {}
 
         def offer(fix, ease, s):
             out[fix] = max((ease, s), out.get(fix, (0, s)))
 
-        for n, (i, read, printed, ease, s) in enumerate(one):
-            offer(word[:i] + printed + word[i + len(read) :], ease, s)
-            for j, read2, printed2, _, s2 in one[n + 1 :]:
+        for n, (i, read, printed, ease, s, mended) in enumerate(one):
+            if mended == len(signs):
+                offer(word[:i] + printed + word[i + len(read) :], ease, s)
+            for j, read2, printed2, _, s2, mended2 in one[n + 1 :]:
+                if mended + mended2 < len(signs):
+                    continue
                 if j >= i + len(read):
                     offer(word[:i] + printed + word[i + len(read) : j] + printed2 + word[j + len(read2) :], 1, s + s2)
                 elif i >= j + len(read2):
@@ -547,15 +559,6 @@ def trained_editor(known: DataFrame, sample: int = SAMPLE_WORDS) -> Editor:
     return Editor().train([(r.word, r.n) for r in known.filter(F.length("word") > 3).orderBy(F.xxhash64("word"), "word").limit(sample).select("word", "n").collect()])
 
 
-def alphabets(known: DataFrame) -> dict[str, list[str]]:
-    """Letters of the lexicon by script; scripts of more than ALPHABET letters are no alphabets."""
-    letters = known.filter(F.col("n") >= REPAIR_FROM).select(F.explode(F.split("word", "")).alias("c")).distinct().collect()
-    out: dict[str, list[str]] = defaultdict(list)
-    for c in sorted(r.c for r in letters if r.c.isalpha()):
-        out[script(c)].append(c)
-    return {s: own for s, own in out.items() if len(own) <= ALPHABET}
-
-
 def script(letter: str) -> str:
     return unicodedata.name(letter, "?").split()[0]
 
@@ -563,11 +566,37 @@ def script(letter: str) -> str:
 _edge = re.compile(r"\A[^\w@|†$€£]+|[^\w@|†$€£]+\Z")
 
 
+def bared(word: str) -> str:
+    """The word in small letters, without the marks around it."""
+    return _edge.sub("", word).lower()
+
+
+def _guessed(proposed: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, fix, ease, score, n): the words of the lexicon (fix, n) that fill the blanks of proposed fixes with letters
+    of the word's script, that of its first letter."""
+    blank = F.lit(BLANK)
+    asked = proposed.filter(F.contains("fix", blank)).withColumnRenamed("fix", "blanked")
+    size = F.length("blanked")
+    places = F.struct(F.locate(BLANK, "blanked").alias("first"), (size + 1 - F.locate(BLANK, F.reverse("blanked"))).alias("last"))
+    of_size = cut(asked.groupBy(size.alias("size")).agg(F.collect_set(places).alias("at")))  # one row for a length of words
+    whole = join_checked(lexicon.withColumn("size", F.length("fix")), of_size, ["size"]).select("fix", "n", F.explode("at").alias("at"))
+    keyed = whole.select("fix", "n", F.xxhash64(F.overlay(F.overlay("fix", blank, F.col("at.first")), blank, F.col("at.last"))).alias("hash"))
+    met = keyed.join(asked.withColumn("hash", F.xxhash64("blanked")), "hash")
+
+    def filled(frames):
+        for frame in frames:
+            own = [next((script(c) for c in bared(w) if c.isalpha()), "") for w in frame["word"]]
+            fits = [len(fix) == len(blanked) and all(c == b or (b == BLANK and c.isalpha() and script(c) == s) for c, b in zip(fix, blanked)) for fix, blanked, s in zip(frame["fix"], frame["blanked"], own)]
+            yield frame.loc[fits, ["word", "fix", "ease", "score", "n"]]
+
+    return met.select("word", "fix", "blanked", "ease", "score", "n").mapInPandas(filled, "word string, fix string, ease int, score double, n bigint")
+
+
 def _decided(stage: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, fix) of the words that the editor mends, fix null where it sees a misread letter only; and (end, label) of
     all line ends."""
     known = cut(stage.filter("kind = 'known'").groupBy("word").agg(F.sum("n").alias("n")))
-    editor, letters = trained_editor(known), alphabets(known)
+    editor = trained_editor(known)
     doubtful = stage.filter("kind = 'word'").select("word").distinct().join(known, "word", "left_anti")
     odd = stage.filter("kind = 'odd'").select("word").distinct()
 
@@ -575,18 +604,19 @@ def _decided(stage: DataFrame) -> tuple[DataFrame, DataFrame]:
         for frame in frames:
             rows = []
             for w in frame["word"]:
-                core = _edge.sub("", w).lower()
-                signs = not core.isalpha()
-                own = letters.get(next((script(c) for c in core if c.isalpha()), ""), []) if signs else []
-                rows += [(w, *x) for x in editor.candidates(core, own)]
-                if signs:
-                    fix, sure = editor.by_signs(core)
+                bare = bared(w)
+                rows += [(w, *x) for x in editor.candidates(bare)]
+                if not bare.isalpha():
+                    fix, sure = editor.by_signs(bare)
                     rows.append((w, fix, 0, sure))
             yield pd.DataFrame(rows, columns=["word", "fix", "ease", "score"])
 
     proposed = written(doubtful.unionByName(odd).distinct().mapInPandas(propose, "word string, fix string, ease int, score double"), "proposed")
     weight = F.when(F.col("n") < 2, F.lit(editor.of_fix(1))).when(F.col("n") < 10, F.lit(editor.of_fix(2))).otherwise(F.lit(editor.of_fix(10)))
-    listed = proposed.filter("ease > 0").join(known.filter(F.col("n") >= REPAIR_FROM).withColumnRenamed("word", "fix"), "fix").select("word", "fix", "ease", (F.col("score") + weight).alias("score"))
+    lexicon = known.filter(F.col("n") >= REPAIR_FROM).withColumnRenamed("word", "fix")
+    whole = proposed.filter((F.col("ease") > 0) & ~F.contains("fix", F.lit(BLANK))).join(lexicon, "fix").unionByName(_guessed(proposed, lexicon))
+    easiest = whole.groupBy("word", "fix").agg(F.max(F.struct("ease", "score", "n")).alias("x")).select("word", "fix", "x.*")
+    listed = easiest.select("word", "fix", "ease", (F.col("score") + weight).alias("score"))
     scored = listed.unionByName(proposed.filter("ease = 0")).filter("score > 0")
     fixes = scored.groupBy("word").agg(F.max_by("fix", F.struct("ease", "score", "fix")).alias("fix"))
 

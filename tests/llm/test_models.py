@@ -234,6 +234,40 @@ def test_hyphens_that_belong_to_the_word_stay(spark):
     assert (1, 2, "hyphen") in [tuple(r) for r in scanned.findings(df).collect()]
 
 
+def test_a_sign_may_be_any_letter_of_a_script_however_large(spark):
+    """More than 200 letters of Latin and of Hangul stand in the lexicon."""
+    latin = [c for c in map(chr, range(0xDF, 0x2B0)) if c.islower()]
+    hangul = [chr(cp) for cp in range(0xAC00, 0xAC00 + 28 * 250, 28)]
+    letters = " ".join("".join(part[i : i + 3]) for part in (latin, hangul) for i in range(0, len(part), 3))
+    page = PAGE.replace("questi0ned", "questi#ned").replace("missing records", "정#원 records").replace("laboratory rebuilt", "l#borat#ry rebuilt").replace("mediators", "m#d#at#rs")
+    clean = [(i, f"{LEXICON} 정보원 mediators {letters}", "txt") for i in range(10, 14)]
+    df = spark.createDataFrame([(1, page, "pdf"), *clean], "doc_id bigint, text string, formato string")
+    assert len(latin) > 200 < len(hangul)
+    text = {r.doc_id: r.text for r in scanned.repair(df).collect()}[1]
+    assert "The laboratory rebuilt" in text and "questioned" in text and "정보원 records" in text
+    assert "m#d#at#rs" in text  # three edits
+    assert {(1, 1, "misread"), (1, 3, "misread"), (1, 4, "misread")} <= {tuple(r) for r in scanned.findings(df).collect()}
+
+
+def test_blanks_meet_every_word_that_letters_make_of_them(spark):
+    rng = random.Random(3)
+    lexicon = sorted({"".join(rng.choices("abàж名字𠀀-²", k=rng.randint(2, 5))) for _ in range(4000)})
+    words = sorted({"".join(rng.choices("abж名𠀀#5-\ufdd0", k=rng.randint(2, 5))) for _ in range(400)})
+    proposed = [(w, fix, ease, float(s)) for w in words for fix, ease, s in scanned.Editor().candidates(w) if scanned.BLANK in fix]
+    right = set()
+    for word, blanked, *_ in proposed:
+        own = next((scanned.script(c) for c in word if c.isalpha()), "")
+        for fix in lexicon:
+            if len(fix) == len(blanked) and all(c == b or (b == scanned.BLANK and c.isalpha() and scanned.script(c) == own) for c, b in zip(fix, blanked)):
+                right.add((word, fix))
+    known = spark.createDataFrame([(w, 2) for w in lexicon], "fix string, n bigint")
+    asked = spark.createDataFrame(proposed, "word string, fix string, ease int, score double")
+    assert {len(x[1]) - len(x[1].replace(scanned.BLANK, "")) for x in proposed} == {1, 2}
+    assert len(right) > 100 and {(r.word, r.fix) for r in scanned._guessed(asked, known).collect()} == right
+    none = scanned._guessed(asked.filter("ease > 9"), known)
+    assert none.count() == 0 and [c for c, _ in none.dtypes] == ["word", "fix", "ease", "score", "n"]
+
+
 # p7
 
 
