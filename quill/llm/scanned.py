@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from quill.llm.markup import language
 from quill.llm.visual import FOLD
-from quill.operators.joins import join_checked
 from quill.session import cut, written
 
 SAMPLE_WORDS = 4000
@@ -571,23 +570,28 @@ def bared(word: str) -> str:
     return _edge.sub("", word).lower()
 
 
-def _guessed(proposed: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, fix, ease, score, n): the words of the lexicon (fix, n) that fill the blanks of proposed fixes with letters
-    of the word's script, that of its first letter."""
+def _met(proposed: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, fix, ease, score, n): the proposed fixes that are words of the lexicon (fix, n), and for those with blanks all
+    words that fill them with letters of the word's script, that of its first letter."""
     blank = F.lit(BLANK)
-    asked = proposed.filter(F.contains("fix", blank)).withColumnRenamed("fix", "blanked")
+    asked = proposed.withColumnRenamed("fix", "blanked")
     size = F.length("blanked")
     places = F.struct(F.locate(BLANK, "blanked").alias("first"), (size + 1 - F.locate(BLANK, F.reverse("blanked"))).alias("last"))
-    of_size = cut(asked.groupBy(size.alias("size")).agg(F.collect_set(places).alias("at")))  # one row for a length of words
-    whole = join_checked(lexicon.withColumn("size", F.length("fix")), of_size, ["size"]).select("fix", "n", F.explode("at").alias("at"))
-    keyed = whole.select("fix", "n", F.xxhash64(F.overlay(F.overlay("fix", blank, F.col("at.first")), blank, F.col("at.last"))).alias("hash"))
-    met = keyed.join(asked.withColumn("hash", F.xxhash64("blanked")), "hash")
+    # one row for a length, and the lines of scanned texts are at most as long as a page is wide
+    of_size = asked.groupBy(size.alias("size")).agg(F.collect_set(places).alias("at"))
+    whole = lexicon.withColumn("size", F.length("fix")).join(F.broadcast(of_size), "size").select("fix", "n", F.explode("at").alias("at"))
+    blanked = F.when(F.col("at.first") == 0, F.col("fix")).otherwise(F.overlay(F.overlay("fix", blank, F.col("at.first")), blank, F.col("at.last")))
+    met = whole.select("fix", "n", F.xxhash64(blanked).alias("hash")).join(asked.withColumn("hash", F.xxhash64("blanked")), "hash")
+
+    def fills(fix: str, blanked: str, word: str) -> bool:
+        if fix == blanked or BLANK not in blanked or len(fix) != len(blanked):
+            return fix == blanked
+        own = next((script(c) for c in bared(word) if c.isalpha()), "")
+        return all(c == b or (b == BLANK and c.isalpha() and script(c) == own) for c, b in zip(fix, blanked))
 
     def filled(frames):
         for frame in frames:
-            own = [next((script(c) for c in bared(w) if c.isalpha()), "") for w in frame["word"]]
-            fits = [len(fix) == len(blanked) and all(c == b or (b == BLANK and c.isalpha() and script(c) == s) for c, b in zip(fix, blanked)) for fix, blanked, s in zip(frame["fix"], frame["blanked"], own)]
-            yield frame.loc[fits, ["word", "fix", "ease", "score", "n"]]
+            yield frame.loc[list(map(fills, frame["fix"], frame["blanked"], frame["word"])), ["word", "fix", "ease", "score", "n"]]
 
     return met.select("word", "fix", "blanked", "ease", "score", "n").mapInPandas(filled, "word string, fix string, ease int, score double, n bigint")
 
@@ -612,12 +616,11 @@ def _decided(stage: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(rows, columns=["word", "fix", "ease", "score"])
 
     proposed = written(doubtful.unionByName(odd).distinct().mapInPandas(propose, "word string, fix string, ease int, score double"), "proposed")
-    weight = F.when(F.col("n") < 2, F.lit(editor.of_fix(1))).when(F.col("n") < 10, F.lit(editor.of_fix(2))).otherwise(F.lit(editor.of_fix(10)))
-    lexicon = known.filter(F.col("n") >= REPAIR_FROM).withColumnRenamed("word", "fix")
-    whole = proposed.filter((F.col("ease") > 0) & ~F.contains("fix", F.lit(BLANK))).join(lexicon, "fix").unionByName(_guessed(proposed, lexicon))
-    easiest = whole.groupBy("word", "fix").agg(F.max(F.struct("ease", "score", "n")).alias("x")).select("word", "fix", "x.*")
-    listed = easiest.select("word", "fix", "ease", (F.col("score") + weight).alias("score"))
-    scored = listed.unionByName(proposed.filter("ease = 0")).filter("score > 0")
+    weight = F.when(F.col("ease") == 0, F.lit(0.0)).when(F.col("n") < 2, F.lit(editor.of_fix(1))).when(F.col("n") < 10, F.lit(editor.of_fix(2))).otherwise(F.lit(editor.of_fix(10)))
+    met = _met(proposed.filter("ease > 0"), known.filter(F.col("n") >= REPAIR_FROM).withColumnRenamed("word", "fix"))
+    rows = met.unionByName(proposed.filter("ease = 0").withColumn("n", F.lit(0).cast("bigint"))).repartition("word")
+    easiest = rows.groupBy("word", "fix", F.col("ease") > 0).agg(F.max(F.struct("ease", "score", "n")).alias("x")).select("word", "fix", "x.*")
+    scored = easiest.select("word", "fix", "ease", (F.col("score") + weight).alias("score")).filter("score > 0")
     fixes = scored.groupBy("word").agg(F.max_by("fix", F.struct("ease", "score", "fix")).alias("fix"))
 
     ends = stage.filter("kind = 'end'").select(F.col("word").alias("end")).distinct()

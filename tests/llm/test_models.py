@@ -263,8 +263,8 @@ def test_blanks_meet_every_word_that_letters_make_of_them(spark):
     known = spark.createDataFrame([(w, 2) for w in lexicon], "fix string, n bigint")
     asked = spark.createDataFrame(proposed, "word string, fix string, ease int, score double")
     assert {len(x[1]) - len(x[1].replace(scanned.BLANK, "")) for x in proposed} == {1, 2}
-    assert len(right) > 100 and {(r.word, r.fix) for r in scanned._guessed(asked, known).collect()} == right
-    none = scanned._guessed(asked.filter("ease > 9"), known)
+    assert len(right) > 100 and {(r.word, r.fix) for r in scanned._met(asked, known).collect()} == right
+    none = scanned._met(asked.filter("ease > 9"), known)
     assert none.count() == 0 and [c for c, _ in none.dtypes] == ["word", "fix", "ease", "score", "n"]
 
 
