@@ -229,10 +229,10 @@ SQL: dict[str, str] = {
     "graph_nodes": f"WITH {NODES} SELECT name, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunks FROM evidence GROUP BY 1",
     "graph_prune": f"WITH {NODES} SELECT name, CAST(count(*) AS INTEGER) AS n FROM evidence JOIN node USING (name) GROUP BY 1",
     "entity_link": f"WITH {NODES} SELECT * FROM linked",
-    "graph_topk": f"""WITH {NODES}, seeds AS (SELECT DISTINCT query_id, name FROM linked),
+    "graph_topk": f"""WITH {NODES}, places AS (SELECT DISTINCT name, chunk_id FROM mentions), seeds AS (SELECT DISTINCT query_id, name FROM linked),
         near AS (SELECT query_id, other, coalesce(max(o), max(i)) AS peso, name FROM (SELECT query_id, name, dst AS other, peso AS o, NULL AS i FROM seeds JOIN heavy ON name = src UNION ALL SELECT query_id, name, src, NULL, peso FROM seeds JOIN heavy ON name = dst) GROUP BY query_id, name, other),
         w AS (SELECT query_id, name AS node_, 1.0::DOUBLE AS w FROM seeds UNION ALL SELECT query_id, other, 0.5 * (peso / 10.0::DOUBLE + 0.1) FROM near),
-        s AS (SELECT query_id, chunk_id, round(sum(w), 6) AS score FROM w JOIN evidence ON node_ = evidence.name GROUP BY 1, 2)
+        s AS (SELECT query_id, chunk_id, round(sum(w), 6) AS score FROM w JOIN places ON node_ = places.name GROUP BY 1, 2)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM s QUALIFY rank <= 20""",
     "dcg": f"WITH {GRADED} SELECT query_id, round(coalesce(sum(CASE WHEN rank <= 10 THEN grade / log2(rank + 1) END), 0), 6) AS dcg FROM graded GROUP BY 1",
     "ndcg": f"WITH {GRADED}, {NDCG} SELECT * FROM ndcg",

@@ -258,6 +258,20 @@ def test_graph(spark):
     assert found == [("1", 1.15), ("2", 1.15), ("3", 0.15)]
 
 
+def test_every_chunk_of_a_name_counts(spark, monkeypatch):
+    """Names of more chunks than a node keeps as evidence: the best chunks may be the last ones."""
+    n = 3 * G.EVIDENCE
+    mentions = spark.createDataFrame([(f"{i:03}", 1, "a") for i in range(n)] + [(f"{i:03}", 2, "b") for i in range(n - 2, n)] + [("x", 1, "b")], "chunk_id string, pos int, name string")
+    edges = G.pruned(G.simple_edges(mentions))
+    seeds = spark.createDataFrame([("q", "a"), ("r", "a"), ("both", "a"), ("both", "b")], "query_id string, name string")
+    for most in (G.NEAR, 1):
+        monkeypatch.setattr(G, "NEAR", most)
+        got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in G.graph_top(seeds, mentions.select("name", "chunk_id"), edges, 3).collect()}
+        first = {1: (f"{n - 2:03}", 1.15), 2: (f"{n - 1:03}", 1.15), 3: ("000", 1.0)}
+        both = {1: (f"{n - 2:03}", 2.3), 2: (f"{n - 1:03}", 2.3), 3: ("000", 1.15)}
+        assert got == {(q, k): v for q, rows in (("q", first), ("r", first), ("both", both)) for k, v in rows.items()}
+
+
 def test_entity_linking(spark):
     node = spark.createDataFrame([("orbita baja terrestre",), ("kessler",), ("orbitabaja",)], "name string")
     keys = spark.createDataFrame([("q", "kessler"), ("q", "orbita baja"), ("q", "baj"), ("q", "efecto kessler")], "query_id string, key string")
