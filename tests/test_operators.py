@@ -183,6 +183,27 @@ def test_both_ways_of_sparse_search_agree(spark, monkeypatch):
     assert few == sorted(map(str, R.sparse_top(chunks, queries, 5).collect())) and few
 
 
+def test_search_passes_on_few_rows_a_task(spark, monkeypatch):
+    """Blocks of a task are ranked together: it passes on the k best of a query, not the k best of every block."""
+    for name, n in (("FIRST", 8), ("TEXTS", 16), ("BLOCK", 8)):
+        monkeypatch.setattr(R, name, n, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    seen = []
+    monkeypatch.setattr(R, "top", lambda df, k, by, order, name="rank", top=R.top: seen.append((df.count(), df.rdd.getNumPartitions())) or top(df, k, by, order, name))
+    chunks = spark.createDataFrame([(f"{i:03}", "orbita " * (1 + i % 5) + f"baja{i % 7}") for i in range(200)], "chunk_id string, texto string")
+    queries = spark.createDataFrame([("p", "orbita baja3"), ("q", "orbita baja3"), ("r", "baja1")], "query_id string, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7), 1.0]) for i in range(200)], "vec_id bigint, embedding array<float>")
+    try:
+        sparse = {(r.query_id, r.rank): r.chunk_id for r in R.sparse_top(chunks, queries, 2).collect()}
+        dense = {(r.query_id, r.rank): r.vec_id for r in R.dense_top(vectors, vectors.filter("vec_id < 3"), 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(seen) == 2 and all(rows <= 3 * 2 * parts for rows, parts in seen)
+    assert sparse == {("p", 1): "024", ("p", 2): "059", ("q", 1): "024", ("q", 2): "059", ("r", 1): "001", ("r", 2): "008"}
+    s = {q: sorted(range(200), key=lambda i: (-(q % 5 * (i % 5) + q % 7 * (i % 7) + 1), i))[:2] for q in range(3)}
+    assert dense == {(q, k + 1): i for q, x in s.items() for k, i in enumerate(x)}
+
+
 def test_documents_of(spark):
     df = spark.createDataFrame([("q", 1, "a", 0.9), ("q", 2, "b", 0.6), ("q", 3, "b", 0.6), ("q", 4, "c", 0.9)], "query_id string, rank int, doc_id string, score double")
     top = lambda m: [r.doc_id for r in sorted(R.documents_of(df, m).collect(), key=lambda r: r.rank)]
