@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType
 
 from quill.functions import text as T
-from quill.operators.joins import join_checked
 from quill.operators.ordinals import with_ordinal
 from quill.sources.tables import records, workbook_text
 from quill.sources.tiles import tile_text
@@ -73,7 +72,9 @@ def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     in the order of their paths. Unknown extensions and .ds_store are left out."""
     fit = files.filter(file_format("fuente").isNotNull() & ~F.lower("fuente").endswith(".ds_store")).withColumn("formato", extension("fuente"))
     if known is not None:
-        return join_checked(fit.select(posix("fuente").alias("fuente"), "formato"), known.select("fuente", "doc_id", "fenomeno"), ["fuente"]).select("fuente", "formato", "doc_id", "fenomeno")
+        # an inventory has a row for each file, so it is as large as the listing: both are shuffled, whatever their size
+        listed = fit.select(posix("fuente").alias("fuente"), "formato").join(known.select("fuente", "doc_id", "fenomeno").hint("merge"), "fuente")
+        return listed.select("fuente", "formato", "doc_id", "fenomeno")
     order = with_ordinal(files.select("fuente").distinct(), ["fuente"], "i")
     return fit.join(order, "fuente").select("fuente", "formato", F.format_string("DOC-%05d", "i").alias("doc_id"), phenomenon("fuente").alias("fenomeno"))
 

@@ -351,6 +351,14 @@ def test_extract_files(spark, tmp_path):
     assert out["a.txt"] == ("café .", None) and out["b.json"] == ("The title", None) and out["c.jpg"] == ("", None) and out["e.md"][0] == "" and out["e.md"][1]
 
 
+def test_a_scan_sends_no_inventory_to_the_driver(spark):
+    listed = spark.createDataFrame([("F1_X/a.txt",), ("F1_X/b.pdf",), ("c.unknown",)], "fuente string")
+    known = spark.createDataFrame([("F1_X/a.txt", "A", 1), ("F1_X/z.txt", "Z", 1)], "fuente string, doc_id string, fenomeno int")
+    found = files.scan(listed, known)
+    assert [tuple(r) for r in found.collect()] == [("F1_X/a.txt", "txt", "A", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stores(spark, tmp_path):
     postings = spark.createDataFrame([("orbita", "1", 2), ("kessler", "2", 1)], "token string, chunk_id string, tf int")
     stores.save_postings(postings, str(tmp_path / "p"))
